@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.components import components
+from lorekeep.llm.knn import similar_pairs
 from lorekeep.llm.mixing import mix
 from lorekeep.llm.packing import pack
 from lorekeep.llm.skeleton import look_alike_classes, look_alike_pairs
@@ -94,3 +95,16 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of each source."""
     return mix(sized_documents(spark, folder, "sizes"), table(spark, folder, "source_targets"))[1]
+
+
+@R.add("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_pairs(table(spark, folder, "embedding_cache")).select("key_a", "key_b")
+
+
+@R.add("p5_degrees")
+def p5_degrees(spark: SparkSession, folder: str) -> DataFrame:
+    """Each vector that has similar others: how many, and the highest similarity."""
+    p = similar_pairs(table(spark, folder, "embedding_cache"))
+    both = p.select(F.col("key_a").alias("cache_key"), "cosine").unionByName(p.select(F.col("key_b").alias("cache_key"), "cosine"))
+    return both.groupBy("cache_key").agg(F.count(F.lit(1)).alias("links"), F.round(F.max("cosine"), 6).alias("nearest"))
