@@ -21,7 +21,9 @@ from lorekeep.scratch import Scratch
 #: Vectors that centroids are fitted on, chosen by a hash of their key; at most this many come to the driver.
 SAMPLE = 8192
 #: Vectors a list should hold, lists at most, and lists that a vector is compared with.
-LIST_SIZE, MOST_LISTS, PROBES = 512, 1024, 3
+LIST_SIZE, MOST_LISTS, PROBES = 512, 1024, 2
+#: A set of keys of up to this many rows is broadcast rather than shuffled.
+FEW = 100_000
 #: A larger list is compared in cells of at most about this many candidates and queries.
 CELL = 8192
 #: Ends of the column blocks, as parts of the dimension.
@@ -197,12 +199,13 @@ def similar_pairs(cache: DataFrame, dims: tuple[int, ...] = (384, 768), k: int =
     # hashes only: which keys come more than once, which payloads have several keys
     ids = rows.groupBy("key").agg(F.min(F.struct("h1", "h2")).alias("h"), F.count(F.lit(1)).alias("rows")).select("key", "h.*", "rows")
     ids = s.save(ids)
+    few = lambda df: F.broadcast(df) if df.count() <= FEW else df  # noqa: E731  a checked size; else both sides are shuffled
     groups = ids.groupBy("h1", "h2").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "rep")
     copies = s.save(ids.join(groups, ["h1", "h2"]).select("key", "rep"))
-    skip = copies.filter("key <> rep").select("key")
+    skip = few(copies.filter("key <> rep").select("key"))
     again = ids.filter("rows > 1").select("key", "h1", "h2")
-    once = rows.join(again.select("key"), "key", "left_anti")
-    several = rows.join(again, ["key", "h1", "h2"], "left_semi").dropDuplicates(["key"])
+    once = rows.join(few(again.select("key")), "key", "left_anti")
+    several = rows.join(few(again), ["key", "h1", "h2"], "left_semi").dropDuplicates(["key"])
     base = once.unionByName(several.select(*once.columns)).join(skip, "key", "left_anti").select("key", "payload")
     found = None
     for d in dims:
@@ -217,7 +220,7 @@ def similar_pairs(cache: DataFrame, dims: tuple[int, ...] = (384, 768), k: int =
                 yield pd.DataFrame({"rep": p["key"].to_numpy()[keep]})
 
     # copies of an unusable payload are no neighbours; one payload a group is looked at
-    reps = base.join(copies.select(F.col("rep").alias("key")).distinct(), "key", "left_semi").mapInPandas(usable, "rep string")
+    reps = base.join(few(copies.select(F.col("rep").alias("key")).distinct()), "key", "left_semi").mapInPandas(usable, "rep string")
     return _with_copies(s, found, s.save(copies.join(reps, "rep", "left_semi")), k)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.llm.components import components
 from lorekeep.llm.knn import similar_pairs
 from lorekeep.llm.mixing import mix
+from lorekeep.llm.neardup import NearDuplicates
 from lorekeep.llm.packing import pack
 from lorekeep.llm.skeleton import look_alike_classes, look_alike_pairs
 from lorekeep.llm.tokens import token_counts
@@ -108,3 +109,19 @@ def p5_degrees(spark: SparkSession, folder: str) -> DataFrame:
     p = similar_pairs(table(spark, folder, "embedding_cache"))
     both = p.select(F.col("key_a").alias("cache_key"), "cosine").unionByName(p.select(F.col("key_b").alias("cache_key"), "cosine"))
     return both.groupBy("cache_key").agg(F.count(F.lit(1)).alias("links"), F.round(F.max("cosine"), 6).alias("nearest"))
+
+
+def _near(spark: SparkSession, folder: str) -> NearDuplicates:
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
+    return NearDuplicates(table(spark, folder, "observations"), "id", text, least=0.6)
+
+
+@R.add("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _near(spark, folder).record_pairs()
+
+
+@R.add("p6_classes")
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each near-duplicate observation with its class of copies and its number of similar classes."""
+    return _near(spark, folder).class_links().withColumnRenamed("key", "id")
