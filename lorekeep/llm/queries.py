@@ -10,6 +10,7 @@ from lorekeep.llm.knn import similar_pairs
 from lorekeep.llm.mixing import mix
 from lorekeep.llm.neardup import NearDuplicates
 from lorekeep.llm.packing import pack
+from lorekeep.llm.pii import find_personal, redact_personal
 from lorekeep.llm.skeleton import look_alike_classes, look_alike_pairs
 from lorekeep.llm.tokens import token_counts
 from lorekeep.plans.registry import Registry, table
@@ -125,3 +126,15 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Each near-duplicate observation with its class of copies and its number of similar classes."""
     return _near(spark, folder).class_links().withColumnRenamed("key", "id")
+
+
+@R.add("p2_found")
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_personal(table(spark, folder, "observations"), table(spark, folder, "name_lexicon"))
+
+
+@R.add("p2_redacted")
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every note with typed placeholders in place of personal information."""
+    rows = redact_personal(table(spark, folder, "observations"), table(spark, folder, "name_lexicon"))
+    return rows.distinct()
