@@ -220,14 +220,16 @@ class NearDuplicates:
 
     def __init__(self, df: DataFrame, key: str, text: Column, least: float = 0.6, width: int = WORDS, kept: int = KEPT, sketches: int = SKETCHES, agrees: int = SIGNATURE_AGREES):
         s = self.scratch = Scratch(df.sparkSession, "neardup")
-        words = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), word_hashes(F.coalesce(text, F.lit(""))).alias("words"))
-        words = words.filter(F.size("words") >= width)
+        raw = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
         # copies are found by two hashes of the word sequence; the smallest key stands for its class
-        marks = s.save(words.select("key", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2")).distinct())
+        plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("plain")
+        marks = raw.select("key", plain).select("key", F.xxhash64("plain").alias("h1"), F.hash("plain").alias("h2"), (F.length("plain") - F.length(F.translate("plain", " ", "")) + 1 >= width).alias("long"))
+        marks = s.save(marks.filter("long").drop("long").distinct())
         reps = marks.groupBy("h1", "h2").agg(F.min("key").alias("class_key"))
         self.members = s.save(marks.join(reps, ["h1", "h2"]).select("class_key", "key"))
         extra = self.members.filter("key <> class_key").select("key")
-        single = words.join(F.broadcast(extra) if extra.count() <= FEW else extra, "key", "left_anti")
+        single = raw.join(F.broadcast(extra) if extra.count() <= FEW else extra, "key", "left_anti")
+        words = single.select("key", word_hashes(F.col("text")).alias("words")).filter(F.size("words") >= width)
 
         def sketched(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in parts:
@@ -245,7 +247,7 @@ class NearDuplicates:
                     v, who = np.r_[v, v1], np.r_[who, who1]
                 yield pd.DataFrame({"sketch": v.view(np.int64), "key": keys[who], "sig": sig[who].view(np.int64)})
 
-        rows = single.select("key", "words").mapInPandas(sketched, "sketch long, key long, sig long").repartition("sketch")
+        rows = words.mapInPandas(sketched, "sketch long, key long, sig long").repartition("sketch")
         a = rows.select("sketch", F.col("key").alias("class_a"), F.col("sig").alias("sa"))
         b = rows.select("sketch", F.col("key").alias("class_b"), F.col("sig").alias("sb"))
         alike = 64 - F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) >= agrees
@@ -254,7 +256,9 @@ class NearDuplicates:
 
         asked = self.candidates.select(F.explode(F.array("class_a", "class_b")).alias("key")).distinct()
         asked = s.save(asked)
-        texts = s.save(single.join(F.broadcast(asked) if asked.count() <= FEW else asked, "key", "left_semi").dropDuplicates(["key"]))
+        # words are hashed again only for the candidates
+        texts = single.join(F.broadcast(asked) if asked.count() <= FEW else asked, "key", "left_semi").dropDuplicates(["key"])
+        texts = s.save(texts.select("key", word_hashes(F.col("text")).alias("words")))
         both = self.candidates.join(texts.select(F.col("key").alias("class_a"), F.col("words").alias("wa")), "class_a")
         both = both.join(texts.select(F.col("key").alias("class_b"), F.col("words").alias("wb")), "class_b")
 
