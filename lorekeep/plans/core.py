@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.plans import upkeep
+from lorekeep.plans import search, tables, upkeep
 from lorekeep.plans.registry import Registry
 
 R = Registry()
-for part in (upkeep.R,):
+for part in (upkeep.R, tables.R, search.R):
     for name, f in part.queries.items():
         R.add(name, part.sql.get(name))(f)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return R.queries["p7_report"](spark, folder)
+    return R.queries["weighted_bm25_topk"](spark, folder)
