@@ -208,7 +208,7 @@ def word_hashes(text: Column) -> Column:
 class NearDuplicates:
     """Near-duplicates of ``df``: records ``key`` with ``text``.
 
-    ``members``: (class_key, key), records with the same word sequence share a
+    ``members``: (class_key, key), records with the same text but for case share a
     class. ``pairs``: (class_a, class_b, edit_similarity, similarity), similar
     classes, class_a < class_b.
 
@@ -221,13 +221,15 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, key: str, text: Column, least: float = 0.6, width: int = WORDS, kept: int = KEPT, sketches: int = SKETCHES, agrees: int = SIGNATURE_AGREES):
         s = self.scratch = Scratch(df.sparkSession, "neardup")
         raw = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-        # copies are found by two hashes of the word sequence; the smallest key stands for its class
-        plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("plain")
-        marks = raw.select("key", plain).select("key", F.xxhash64("plain").alias("h1"), F.hash("plain").alias("h2"), (F.length("plain") - F.length(F.translate("plain", " ", "")) + 1 >= width).alias("long"))
-        marks = s.save(marks.filter("long").drop("long").distinct())
+        # copies are found by two hashes of the text in lower case; the smallest key stands for its class
+        marks = s.save(raw.select("key", F.xxhash64(F.lower("text")).alias("h1"), F.hash(F.lower("text")).alias("h2")).distinct())
         reps = marks.groupBy("h1", "h2").agg(F.min("key").alias("class_key"))
         self.members = s.save(marks.join(reps, ["h1", "h2"]).select("class_key", "key"))
         extra = self.members.filter("key <> class_key").select("key")
+        # classes of copies with words enough to be similar at all: one text a class is read
+        twice = extra.join(self.members, "key").select(F.col("class_key").alias("key")).distinct()
+        told = raw.join(F.broadcast(twice) if twice.count() <= FEW else twice, "key", "left_semi")
+        self.copied = s.save(told.filter(F.size(word_hashes(F.col("text"))) >= width).select(F.col("key").alias("class_key")).distinct())
         single = raw.join(F.broadcast(extra) if extra.count() <= FEW else extra, "key", "left_anti")
         words = single.select("key", word_hashes(F.col("text")).alias("words")).filter(F.size("words") >= width)
 
@@ -279,7 +281,8 @@ class NearDuplicates:
         a = self.members.select(F.col("class_key").alias("class_a"), F.col("key").alias("x"))
         b = self.members.select(F.col("class_key").alias("class_b"), F.col("key").alias("y"))
         across = self.pairs.join(a, "class_a").join(b, "class_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-        within = a.join(b.withColumnRenamed("class_b", "class_a"), "class_a").filter("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+        same = a.join(self.copied.withColumnRenamed("class_key", "class_a"), "class_a", "left_semi")
+        within = same.join(b.withColumnRenamed("class_b", "class_a"), "class_a").filter("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
         return across.unionByName(within)
 
     def class_links(self) -> DataFrame:
@@ -289,5 +292,6 @@ class NearDuplicates:
         """
         sizes = self.members.groupBy("class_key").agg(F.count(F.lit(1)).alias("n"))
         ends = self.pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_key")).groupBy("class_key").agg(F.count(F.lit(1)).alias("links"))
-        known = sizes.join(ends, "class_key", "left").na.fill(0, ["links"]).filter("n > 1 OR links > 0")
+        alike = self.copied.select("class_key", F.lit(True).alias("copied"))
+        known = sizes.join(ends, "class_key", "left").join(alike, "class_key", "left").na.fill(0, ["links"]).filter("copied OR links > 0")
         return self.members.join(known, "class_key").select("key", "class_key", (F.col("n") - 1).alias("copies"), "links")
