@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.plans import search, tables, upkeep
+from lorekeep.plans import graphs, search, tables, upkeep, writes
 from lorekeep.plans.registry import Registry
 
 R = Registry()
-for part in (upkeep.R, tables.R, search.R):
+for part in (upkeep.R, tables.R, search.R, graphs.R, writes.R):
     for name, f in part.queries.items():
         R.add(name, part.sql.get(name))(f)
 
