@@ -42,7 +42,7 @@ _DECOYS = [
     "The Grace Period of {n2} minutes must not change.", "Mark Done and Will Retry are two states of one lease.", "Use the @cached_{w} decorator, see section 4.{n2}.", "Bumped pkg@{n1}.{n2}.{n1} after the lock file complained.", "Lane {n2} of the index is slower than lane 2.",
     "Street level detail is out of scope.", "Ports {n4} to {n4} are taken on the runner.", "Hope for the best, plan for the rest.", "Mark Read is a flag, not a person.", "The Rose Garden build failed on Court Drive tests.", "Row {n4} {n4} {n4} was skipped.", "Version 10.{n3}.{n4} is out.",
     "The Review Queue and the Token Packer share one lock.", "Set Grace Window to {n2}.", "Order {n3}-{n4} and part {n2}-{n3}-{n1} arrived.", "Range 1000-{n4} is free, id {n6} is not.", "Will Power said no such thing exists in the Hope Index.", "{G} {W} and {G} {W} are two states of one lease.", "The {G} {W} of {n2} minutes must not change.", "{G} {W} is a setting.", "Press {G} {W} to go on.", "The {W} {W} and the {W} {W} differ.", "{W} {W} {n2} failed.",
-    "See {G} {W}, then {W} {G}.", "user@host failed, root@localhost did not",
+    "See {G} {W}, then {W} {G}.", "The states are {G} {W} and {G} {W}.", "It moved from {G} {W} to {G} {W}.", "Both {G} {W} and {W} {W} fail.", "{G} {W} of {n2}, {G} {W} of {n2}.", "the {G} {W}.", "user@host failed, root@localhost did not",
 ]
 
 

@@ -35,7 +35,7 @@ LOOK_ALIKES = {
     "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "Y", "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ǃ": "!",
     # punctuation
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "﹘": "-", "’": "'", "‘": "'", "‛": "'", "′": "'", "ʼ": "'", "ʹ": "'",
-    "“": '"', "”": '"', "‟": '"', "″": '"', "∶": ":", "ː": ":", "։": ":", "⁄": "/", "∕": "/", "․": ".", "‚": ",", "∗": "*", "⁎": "*",
+    "“": '"', "”": '"', "‟": '"', "″": '"', "∶": ":", "ː": ":", "։": ":", "⁄": "/", "∕": "/", "‚": ",", "∗": "*", "⁎": "*",
 }
 
 
