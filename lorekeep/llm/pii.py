@@ -298,6 +298,8 @@ def _names(text: str, words: list[tuple[int, int, str, str]]) -> Iterator[Span]:
                 continue
             if all(k in "IP" for k in kinds):
                 continue
+            if not strong and "T" not in [x for x, k in zip(caps, kinds) if k != "I"]:
+                continue  # unknown words in capitals throughout: shouted text
             end = e - 1 if w.endswith(".") and c != "I" else e
             if w.endswith(".") and c == "I":
                 end = e - 1  # no full stop at the end of what is found
