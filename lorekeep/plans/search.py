@@ -9,7 +9,7 @@ from lorekeep.functions import scores as sc
 from lorekeep.functions import text as tx
 from lorekeep.operators import dense, fusion
 from lorekeep.operators import lexical as lx
-from lorekeep.operators.relational import live, ranked
+from lorekeep.operators.relational import ranked
 from lorekeep.plans.registry import Registry, table
 from lorekeep.sources.memory import facts, links, observations, queries
 
@@ -50,7 +50,7 @@ MOST_WORDS = 8
 
 
 def _corpus(spark: SparkSession, folder: str, cols: dict[str, float]) -> DataFrame:
-    return lx.tokenized(live(observations(spark, folder)), "id", cols)
+    return lx.tokenized(observations(spark, folder, live_only=True), "id", cols)
 
 
 def _phrases(spark: SparkSession, folder: str, tiered: bool = False) -> DataFrame:
@@ -147,7 +147,7 @@ def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
     return dense.block_knn(v, q, 10).select("query", "id", "rank", F.round("distance", 6).alias("distance"))
 
 
-@R.add("knn_l2")
+@R.add("knn_l2", _knn_sql("list_distance(q.vec, v.vec)"))
 def knn_l2(spark: SparkSession, folder: str) -> DataFrame:
     v, q = _vectors(spark, folder)
     return dense.block_knn(v, q, 10, "l2").select("query", "id", "rank", F.round("distance", 6).alias("distance"))
@@ -243,7 +243,7 @@ SELECT id, round(salience, 6) AS salience, round(decay, 6) AS decay, round(salie
 def salience_decay(spark: SparkSession, folder: str) -> DataFrame:
     now = F.to_timestamp_ntz(F.lit(NOW))
     age = F.timestamp_diff("MICROSECOND", F.col("created_at"), now) / 86_400_000_000.0
-    s = live(observations(spark, folder)).select("id", sc.salience(F.col("type"), F.col("verify_state")).alias("salience"), sc.decay(age).alias("decay"))
+    s = observations(spark, folder, live_only=True).select("id", sc.salience(F.col("type"), F.col("verify_state")).alias("salience"), sc.decay(age).alias("decay"))
     return s.select("id", F.round("salience", 6).alias("salience"), F.round("decay", 6).alias("decay"), F.round(F.col("salience") * F.col("decay"), 6).alias("weight"))
 
 
@@ -275,7 +275,7 @@ SELECT query, doc, round(3.0 * len(list_intersect(q, ti)) / len(q) + 1.5 * len(l
 def local_rerank(spark: SparkSession, folder: str) -> DataFrame:
     """Phrase hits rescored by cover of title and body and by length."""
     cols = {"content": 1.0}
-    o = live(observations(spark, folder))
+    o = observations(spark, folder, live_only=True)
     c = lx.tokenized(o, "id", cols)
     pair = lx.phrase_hits(c, _phrases(spark, folder), cols, MOST_WORDS).select("query", "doc").distinct()
     q = queries(spark, folder).select(F.col("query_id").alias("query"), F.filter(F.array_distinct(tx.tokens(F.col("text"))), lambda x: F.length(x) >= 2).alias("q")).filter(F.size("q") > 0)

@@ -22,13 +22,13 @@ def _now():
 
 @R.add("live_filter", O + "SELECT id, type, scope, verify_state FROM o WHERE deleted_at IS NULL AND (verify_state IS NULL OR verify_state NOT IN ('stale','invalidated','unprovable'))")
 def live_filter(spark: SparkSession, folder: str) -> DataFrame:
-    o = live(observations(spark, folder))
+    o = observations(spark, folder, live_only=True)
     return o.filter(F.col("verify_state").isNull() | ~F.col("verify_state").isin(STALE)).select("id", "type", "scope", "verify_state")
 
 
 @R.add("filtered_list", O + "SELECT id, title, session_id FROM o WHERE deleted_at IS NULL AND type = 'decision' AND scope = 'project' AND created_by IS NOT NULL")
 def filtered_list(spark: SparkSession, folder: str) -> DataFrame:
-    o = live(observations(spark, folder)).filter("type = 'decision' AND scope = 'project' AND created_by IS NOT NULL")
+    o = observations(spark, folder, live_only=True).filter("type = 'decision' AND scope = 'project' AND created_by IS NOT NULL")
     return o.select("id", "title", "session_id")
 
 
@@ -37,7 +37,7 @@ def filtered_list(spark: SparkSession, folder: str) -> DataFrame:
 SELECT id, created_at FROM r WHERE rn BETWEEN 21 AND 40
 """)
 def keyset_page2(spark: SparkSession, folder: str) -> DataFrame:
-    o = live(observations(spark, folder)).select("id", "created_at")
+    o = observations(spark, folder, live_only=True).select("id", "created_at")
     first = keyset_page(o, F.col("created_at"), F.col("id"), None, 20).collect()
     return keyset_page(o, F.col("created_at"), F.col("id"), (first[-1]["created_at"], first[-1]["id"]), 20)
 
@@ -59,7 +59,7 @@ SELECT id, project, coalesce(before_id, -1) AS before_id, coalesce(after_id, -1)
 def timeline_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     """The observation before and after each one within its project and session (-1: none)."""
     w = Window.partitionBy("project", "session_id").orderBy("created_at", "id")
-    return live(observations(spark, folder)).select("id", "project", F.lag("id", 1, -1).over(w).alias("before_id"), F.lead("id", 1, -1).over(w).alias("after_id"))
+    return observations(spark, folder, live_only=True).select("id", "project", F.lag("id", 1, -1).over(w).alias("before_id"), F.lead("id", 1, -1).over(w).alias("after_id"))
 
 
 @R.add("active_topics", O + """
@@ -68,7 +68,7 @@ def timeline_neighbors(spark: SparkSession, folder: str) -> DataFrame:
 SELECT topic_key, scope, title, n AS observations, updated_at FROM t WHERE rn = 1
 """)
 def active_topics(spark: SparkSession, folder: str) -> DataFrame:
-    o = live(observations(spark, folder)).filter("topic_key IS NOT NULL")
+    o = observations(spark, folder, live_only=True).filter("topic_key IS NOT NULL")
     return o.groupBy("topic_key", "scope").agg(F.max_by("title", F.struct("updated_at", "id")).alias("title"), F.count(F.lit(1)).alias("observations"), F.max("updated_at").alias("updated_at"))
 
 
@@ -93,7 +93,7 @@ FROM p FULL JOIN f ON p.project = f.project
 """)
 def project_summary(spark: SparkSession, folder: str) -> DataFrame:
     f = facts(spark, folder).groupBy("project").agg(F.count(F.lit(1)).alias("facts"), F.round(F.sum("salience"), 3).alias("salience"))
-    p = live(observations(spark, folder)).groupBy("project").agg(F.count(F.lit(1)).alias("observations"), F.max("updated_at").alias("last_update"))
+    p = observations(spark, folder, live_only=True).groupBy("project").agg(F.count(F.lit(1)).alias("observations"), F.max("updated_at").alias("last_update"))
     return p.join(f, "project", "full").select("project", F.coalesce("observations", F.lit(0)).alias("observations"), F.coalesce("facts", F.lit(0)).alias("facts"), "salience", "last_update")
 
 
@@ -106,13 +106,13 @@ def verify_hist_rollup(spark: SparkSession, folder: str) -> DataFrame:
 @R.add("missing_embeddings", O + "SELECT id, project FROM o WHERE deleted_at IS NULL AND id NOT IN (SELECT observation_id FROM observation_embedding_meta)")
 def missing_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     meta = table(spark, folder, "observation_embedding_meta").select(F.col("observation_id").alias("id"))
-    return orphan_rows(live(observations(spark, folder)), meta, ["id"]).select("id", "project")
+    return orphan_rows(observations(spark, folder, live_only=True), meta, ["id"]).select("id", "project")
 
 
 @R.add("unextracted", O + "SELECT id FROM o WHERE deleted_at IS NULL AND created_at >= TIMESTAMP '2025-06-01' AND NOT EXISTS (SELECT 1 FROM facts f WHERE f.evidence_obs_id = o.id)")
 def unextracted(spark: SparkSession, folder: str) -> DataFrame:
     """Live observations since a date that no fact cites."""
-    o = live(observations(spark, folder)).filter(F.col("created_at") >= F.to_timestamp_ntz(F.lit("2025-06-01 00:00:00")))
+    o = observations(spark, folder, live_only=True).filter(F.col("created_at") >= F.to_timestamp_ntz(F.lit("2025-06-01 00:00:00")))
     return orphan_rows(o, table(spark, folder, "facts").select(F.col("evidence_obs_id").alias("id")), ["id"]).select("id")
 
 
@@ -121,7 +121,7 @@ SELECT a.id AS anchor, b.id FROM o a JOIN o b ON a.session_id = b.session_id AND
 WHERE a.deleted_at IS NULL AND b.deleted_at IS NULL AND a.type = 'decision'
 """)
 def session_neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    o = live(observations(spark, folder)).select("id", "session_id", "type")
+    o = observations(spark, folder, live_only=True).select("id", "session_id", "type")
     return near_keys(o.drop("type"), o.filter("type = 'decision'").select("id", "session_id"), "id", "session_id", 2).select("anchor", "id")
 
 
@@ -131,7 +131,7 @@ def session_neighbors(spark: SparkSession, folder: str) -> DataFrame:
 SELECT kind, project, count(*) AS n, max(at_time) AS newest FROM d GROUP BY kind, project
 """)
 def cross_project_union(spark: SparkSession, folder: str) -> DataFrame:
-    a = live(observations(spark, folder)).select(F.lit("observation").alias("kind"), "project", F.col("id").alias("key"), F.col("updated_at").alias("at_time"))
+    a = observations(spark, folder, live_only=True).select(F.lit("observation").alias("kind"), "project", F.col("id").alias("key"), F.col("updated_at").alias("at_time"))
     b = table(spark, folder, "documents").filter("text IS NOT NULL").select(F.lit("document").alias("kind"), "project", F.col("doc_id").alias("key"), F.col("created_at").alias("at_time"))
     return a.unionByName(b).groupBy("kind", "project").agg(F.count(F.lit(1)).alias("n"), F.max("at_time").alias("newest"))
 
@@ -198,7 +198,7 @@ FROM o WHERE deleted_at IS NULL GROUP BY project
 """)
 def graph_coverage(spark: SparkSession, folder: str) -> DataFrame:
     m = mentions(spark, folder).select(F.col("observation_id").alias("id"), F.lit(1).alias("hit")).distinct()
-    j = live(observations(spark, folder)).join(m, "id", "left")
+    j = observations(spark, folder, live_only=True).join(m, "id", "left")
     return j.groupBy("project").agg(F.count(F.lit(1)).alias("live_n"), F.count("hit").alias("covered"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("coverage"))
 
 
@@ -259,7 +259,7 @@ SELECT id, type, review_after FROM d WHERE review_after <= TIMESTAMP '{NOW}'
 """)
 def review_due(spark: SparkSession, folder: str) -> DataFrame:
     """Observations due for review: months by type, the day clamped to the month's length."""
-    o = live(observations(spark, folder)).filter(F.col("type").isin("decision", "policy", "preference"))
+    o = observations(spark, folder, live_only=True).filter(F.col("type").isin("decision", "policy", "preference"))
     months = F.when(F.col("type") == "decision", 6).when(F.col("type") == "policy", 12).otherwise(3)
     due = F.col("created_at") + F.make_ym_interval(F.lit(0), months)
     return o.select("id", "type", due.alias("review_after")).filter(F.col("review_after") <= _now())

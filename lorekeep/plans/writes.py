@@ -12,7 +12,6 @@ from lorekeep.operators import dense
 from lorekeep.operators import evaluate as ev
 from lorekeep.operators import memory as mem
 from lorekeep.operators.names import similar_names
-from lorekeep.operators.relational import live
 from lorekeep.plans.registry import Registry, table
 from lorekeep.sources.memory import facts, observations
 
@@ -113,7 +112,7 @@ SELECT keep_id, id AS drop_id FROM g WHERE id <> keep_id
 """)
 def dream_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Live observations of equal content hash: the newest is kept; one row a duplicate, not a pair of all."""
-    o = live(observations(spark, folder)).filter("normalized_hash IS NOT NULL").select("normalized_hash", "id", "updated_at")
+    o = observations(spark, folder, live_only=True).filter("normalized_hash IS NOT NULL").select("normalized_hash", "id", "updated_at")
     k = o.groupBy("normalized_hash").agg(F.max_by("id", F.struct("updated_at", "id")).alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return o.join(k, "normalized_hash").filter("id <> keep_id").select("keep_id", F.col("id").alias("drop_id"))
 
@@ -128,7 +127,7 @@ SELECT project, id, tokens_after FROM s WHERE tokens_after <= 2000
 """)
 def token_pack(spark: SparkSession, folder: str) -> DataFrame:
     """The newest live observations of each project that fit 2 000 tokens."""
-    o = live(observations(spark, folder))
+    o = observations(spark, folder, live_only=True)
     day = -F.datediff(F.col("created_at"), F.lit("1970-01-01").cast("date"))
     return cx.token_pack(o, ["project"], day, [F.desc("created_at"), F.desc("id")], tx.token_estimate(F.col("type"), F.col("title"), F.col("content")), 2000).select("project", "id", "tokens_after")
 
@@ -137,7 +136,7 @@ def token_pack(spark: SparkSession, folder: str) -> DataFrame:
 , r AS (SELECT project, type, id, row_number() OVER (PARTITION BY project, type ORDER BY created_at DESC, id DESC) AS turn FROM o WHERE deleted_at IS NULL) SELECT project, type, id, turn FROM r WHERE turn <= 3
 """)
 def type_round_robin(spark: SparkSession, folder: str) -> DataFrame:
-    o = live(observations(spark, folder)).select("project", "type", "id", "created_at")
+    o = observations(spark, folder, live_only=True).select("project", "type", "id", "created_at")
     return cx.type_round_robin(o, ["project"], "type", [F.desc("created_at"), F.desc("id")], 3).select("project", "type", "id", "turn")
 
 
@@ -148,7 +147,7 @@ SELECT query, id, pos // 2 AS seed_rank, pos % 2 = 0 AS is_seed FROM j
 """)
 def evidence_window(spark: SparkSession, folder: str) -> DataFrame:
     """The five newest decisions of each project with what stands around them in their session."""
-    o = live(observations(spark, folder)).select("id", "session_id", "project", "type", "created_at")
+    o = observations(spark, folder, live_only=True).select("id", "session_id", "project", "type", "created_at")
     w = Window.partitionBy("project").orderBy(F.desc("created_at"), F.desc("id"))
     seeds = o.filter("type = 'decision' AND session_id IS NOT NULL").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5").select(F.col("project").alias("query"), "rank", "id", "session_id")
     return cx.evidence_window(seeds, o.select("id", "session_id"), "id", "session_id", 3)
@@ -157,7 +156,7 @@ def evidence_window(spark: SparkSession, folder: str) -> DataFrame:
 @R.add("slot_pack")
 def slot_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Each project's newest observations in slots of a 2 000 token budget."""
-    o = live(observations(spark, folder))
+    o = observations(spark, folder, live_only=True)
     w = Window.partitionBy("project").orderBy(F.desc("created_at"), F.desc("id"))
     slot = F.when(F.col("type").isin("decision", "policy"), 0).when(F.col("topic_key").isNotNull(), 1).otherwise(2)
     rows = o.select("project", F.col("id").alias("key"), slot.alias("slot"), F.row_number().over(w).cast("long").alias("rank"), tx.token_estimate(F.col("type"), F.col("title"), F.col("content")).alias("size"))

@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators.relational import live
 from lorekeep.plans.registry import table
 
 
-def observations(spark: SparkSession, folder: str) -> DataFrame:
-    """Observations, repeated rows once. The newest version of an id holds, by map-side aggregation."""
-    return table(spark, folder, "observations").distinct()
+def observations(spark: SparkSession, folder: str, live_only: bool = False) -> DataFrame:
+    """Observations, repeated rows once; with ``live_only`` those that are not soft-deleted.
+
+    A repeated row repeats all of it, so any row of an id will do: only the columns
+    that a query uses are read and shuffled, and the filter reaches the scan.
+    """
+    o = table(spark, folder, "observations")
+    return (live(o) if live_only else o).dropDuplicates(["id"])
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "facts").distinct()
+    return table(spark, folder, "facts").dropDuplicates(["fact_id"])
 
 
 def links(spark: SparkSession, folder: str) -> DataFrame:
