@@ -117,15 +117,7 @@ def _near(spark: SparkSession, folder: str) -> NearDuplicates:
     return NearDuplicates(table(spark, folder, "observations"), "id", text, least=0.6)
 
 
-_SHARED = """
-WITH o AS (SELECT DISTINCT id, lower(coalesce(title, '') || ' ' || coalesce(content, '')) AS t FROM observations), w AS (SELECT id, regexp_extract_all(t, '[a-z0-9]+') AS w FROM o),
-s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w)), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
-SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)
-"""
-
-
-@R.add("p6_found", _SHARED)
+@R.add("p6_found")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _near(spark, folder).record_pairs()
 
