@@ -61,16 +61,36 @@ def kmers(words: list[np.ndarray], width: int = WORDS) -> tuple[np.ndarray, np.n
 
 def _labelled(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """K-mer hashes with the occurrence number mixed in."""
-    order = np.lexsort((np.arange(len(h)), h, owner))
+    both = _mix(h + (owner.astype(np.uint64) + np.uint64(1)) * _M3)
+    ordered = np.sort(both)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
+        return h
+    # only k-mers that a record repeats need a label
+    at = np.nonzero(np.isin(both, twice))[0]
+    order = at[np.lexsort((at, h[at], owner[at]))]
     s, o = h[order], owner[order]
-    first = np.r_[True, (s[1:] != s[:-1]) | (o[1:] != o[:-1])] if len(s) else np.zeros(0, bool)
-    begin = np.maximum.accumulate(np.where(first, np.arange(len(s)), 0)) if len(s) else np.zeros(0, np.int64)
+    first = np.r_[True, (s[1:] != s[:-1]) | (o[1:] != o[:-1])]
+    begin = np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
     turn = np.arange(len(s)) - begin
-    out = np.empty_like(h)
+    out = h.copy()
     out[order] = np.where(turn == 0, s, _mix(s + turn.astype(np.uint64) * _M1))
     return out
 
 
+def _mix_in(x: np.ndarray, spare: np.ndarray) -> None:
+    """``_mix`` in place."""
+    for shift, factor in ((30, _M2), (27, _M3), (31, None)):
+        np.right_shift(x, np.uint64(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        if factor is not None:
+            np.multiply(x, factor, out=x)
+
+
+#: K-mers hashed at a time in ``sketch``: what fits a processor's cache.
+_AREA = 60_000
+
+
 def sketch(h: np.ndarray, owner: np.ndarray, records: int, kept: int, rounds: int, salt: int, signature: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(sketch value, record): ``rounds`` sketches of each record with at least one k-mer.
 
@@ -82,36 +102,44 @@ def sketch(h: np.ndarray, owner: np.ndarray, records: int, kept: int, rounds: in
     values, who = [], []
     by_size = np.argsort(size, kind="stable")
     by_size = by_size[size[by_size] > 0]
+    last = rounds if signature is None else max(rounds, 64)
+    seeds = _mix(np.uint64((salt + 1) * 1000003) + np.arange(last, dtype=np.uint64))
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
     at = 0
     while at < len(by_size):
         # records of like size share a padded matrix of bounded area
-        widest = int(size[by_size[at]] * 1.3) + 4
+        widest = int(size[by_size[at]] * 1.2) + 4
         end = at + int(np.searchsorted(size[by_size[at:]], widest, side="right"))
-        end = min(end, at + max(1, 2_000_000 // widest))
+        end = min(end, at + max(1, _AREA // widest))
         rec = by_size[at:end]
         wide = int(size[rec[-1]])
         pos = start[rec][:, None] + np.arange(wide)
-        real = np.arange(wide) < size[rec][:, None]
+        pad = np.where(np.arange(wide) < size[rec][:, None], np.uint64(0), top)
         grid = h[np.minimum(pos, len(h) - 1)]
-        for j in range(rounds):
-            v = _mix(grid ^ _mix(np.full(1, (salt + 1) * 1000003 + j, np.uint64)))
-            v = np.where(real, v, np.uint64(0xFFFFFFFFFFFFFFFF))
-            few = min(kept, wide)
-            low = np.argpartition(v, few - 1, axis=1)[:, :few] if few < wide else np.tile(np.arange(wide), (len(rec), 1))
+        row = np.arange(len(rec))
+        few = min(kept, wide)
+        v, spare = np.empty_like(grid), np.empty_like(grid)
+        for j in range(last):
+            np.bitwise_xor(grid, seeds[j], out=v)
+            _mix_in(v, spare)
+            np.bitwise_or(v, pad, out=v)
+            least = v.argmin(1)
             if signature is not None and j < 64:
-                least = np.take_along_axis(low, np.take_along_axis(v, low, 1).argmin(1)[:, None], 1)
-                signature[rec] |= _bit(np.take_along_axis(grid, least, 1)[:, 0], j)
-            low = np.sort(low, axis=1)  # text order
-            got, ok = np.take_along_axis(grid, low, 1), np.take_along_axis(real, low, 1)
+                signature[rec] |= _bit(grid[row, least], j)
+            if j >= rounds:
+                continue
+            low = np.empty((len(rec), few), np.int64)
+            low[:, 0] = least
+            for c in range(1, few):
+                v[row, low[:, c - 1]] = top
+                low[:, c] = v.argmin(1)
+            low.sort(axis=1)  # text order
             s = np.full(len(rec), (salt + 1) * 7919 + j, np.uint64)
             for c in range(few):
-                s = np.where(ok[:, c], _mix(s * _M1 + got[:, c]), s)
+                part = low[:, c]
+                s = np.where(part < size[rec], _mix(s * _M1 + grid[row, part]), s)
             values.append(s)
             who.append(rec)
-        if signature is not None:
-            for j in range(rounds, 64):
-                v = np.where(real, _mix(grid ^ _mix(np.full(1, (salt + 1) * 1000003 + j, np.uint64))), np.uint64(0xFFFFFFFFFFFFFFFF))
-                signature[rec] |= _bit(np.take_along_axis(grid, v.argmin(1)[:, None], 1)[:, 0], j)
         at = end
     if not values:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
