@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lorekeep.scratch import Scratch
 
 #: Words in a k-mer, k-mers in a sketch, sketches of a record.
-WORDS, KEPT, SKETCHES = 3, 3, 40
+WORDS, KEPT, SKETCHES = 3, 3, 48
 #: Records with so few k-mers also get sketches of a single k-mer, as three minima seldom agree there.
 SHORT, SHORT_SKETCHES = 24, 24
 #: A signature has 64 one-bit minima; records of similarity 0.6 agree in 51 bits on average (deviation 3.2), unrelated ones in 32.
