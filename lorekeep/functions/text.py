@@ -78,3 +78,61 @@ def ordinals(text: Column, most: int) -> Column:
     """Distinct whole numbers 1..most in order of appearance."""
     n = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
     return F.array_distinct(F.filter(n, lambda x: (x >= 1) & (x <= most)))
+
+
+def anchor(text: Column) -> Column:
+    """Parts of a code anchor: path, path:line, path:from-to or path#symbol, as a struct (path, symbol, line_start, line_end)."""
+    t = F.trim(text)
+    path = F.regexp_extract(t, r"^([^#:]+(?::(?!\d)[^#:]*)*)", 1)
+    line = F.regexp_extract(t, r":(\d+)(?:-(\d+))?$", 1)
+    upto = F.regexp_extract(t, r":(\d+)-(\d+)$", 2)
+    symbol = F.regexp_extract(t, r"#(.+)$", 1)
+    blank = lambda c: F.when(c != "", c)
+    start = blank(line).try_cast("int")
+    return F.struct(path.alias("path"), blank(symbol).alias("symbol"), start.alias("line_start"), F.coalesce(blank(upto).try_cast("int"), start).alias("line_end"))
+
+
+def project_name(name: Column) -> Column:
+    """Lower case, separators as one hyphen, nothing but letters, digits, dots and hyphens."""
+    n = F.regexp_replace(F.lower(F.trim(name)), r"[\s_/\\]+", "-")
+    return F.regexp_replace(F.regexp_replace(n, r"[^a-z0-9.-]", ""), "^-+|-+$|(?<=-)-+", "")
+
+
+def decision_key(question: Column) -> Column:
+    return F.concat(F.lit("decision/"), F.substring(F.sha2(F.trim(question), 256), 1, 12))
+
+
+def preview(text: Column, lines: int = 12, chars: int = 900) -> Column:
+    """The first lines in one, cut to a number of characters: for display, not for comparison."""
+    return F.substring(F.array_join(F.slice(F.split(text, "\n"), 1, lines), " "), 1, chars)
+
+
+def sub_questions(text: Column, most: int = 3) -> Column:
+    """Numbered lines of at least eight characters that end in a question mark."""
+    q = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*\d+[.)]\s*", "")))
+    return F.slice(F.filter(q, lambda x: (F.length(x) >= 8) & x.endswith("?")), 1, most)
+
+
+def fact_line(text: Column) -> Column:
+    """Subject, predicate and object of ``subject - predicate - object``; null parts without that form."""
+    at = lambda i: F.when(text.rlike(r"^.+? - .+? - .+$"), F.trim(F.regexp_extract(text, r"^(.+?) - (.+?) - (.+)$", i)))
+    return F.struct(at(1).alias("subject"), at(2).alias("predicate"), at(3).alias("object"))
+
+
+def gold_rank(hits: Column, gold: Column) -> Column:
+    """Place (from 1) of the first hit that contains ``gold``, case aside; null without one."""
+    at = F.array_position(F.transform(hits, lambda h: F.contains(F.lower(h), F.lower(gold))), True)
+    return F.when(at > 0, at)
+
+
+def temporal_score(text: Column) -> Column:
+    """How much a text speaks of time: a year counts 2, a time word 1."""
+    words = r"(?i)(yesterday|today|tomorrow|last|next|week|month|year|before|after|since|until|when)"
+    return F.when(text.rlike(r"\b(19|20)\d\d\b"), 2).otherwise(0) + F.when(text.rlike(words), 1).otherwise(0)
+
+
+def tolerant_array(text: Column, schema: str) -> Column:
+    """Objects of a JSON array, also when text stands around it or its end is cut: whole objects are kept."""
+    objects = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\{[^{}]*\})"), F.lit(1))
+    parsed = F.transform(objects, lambda o: F.from_json(o, schema))
+    return F.filter(parsed, lambda o: o.isNotNull())

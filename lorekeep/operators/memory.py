@@ -69,3 +69,26 @@ def patched(base: DataFrame, patch: DataFrame, key: str, fields: list[str]) -> D
     p = patch.select(key, *[F.col(f).alias(f"__{f}") for f in fields])
     j = base.join(p, key, "left")
     return j.select(*[F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c) for c in base.columns])
+
+
+def save_outcomes(df: DataFrame, most_chars: int = 50_000, days: int = 30) -> DataFrame:
+    """(id, outcome): what saving each row in time order does.
+
+    rejected (blank or too long content, unknown scope), repeated (a sync_id seen
+    before), topic_update (its topic and scope exist), duplicate (equal hash within
+    the window), else inserted.
+    """
+    bad = F.col("content").isNull() | (F.trim("content") == "") | (F.length("content") > most_chars) | ~F.coalesce(F.col("scope").isin("project", "personal", "team"), F.lit(False))
+    rows = df.select("id", "sync_id", "topic_key", "scope", "normalized_hash", "created_at", bad.alias("bad"))
+    good = rows.filter("NOT bad")
+    first = F.min(F.struct("created_at", "id"))
+    by_sync = good.filter("sync_id IS NOT NULL").groupBy("sync_id").agg(first.alias("s0"))
+    good = good.join(by_sync, "sync_id", "left").withColumn("again", F.coalesce(F.col("s0.id") != F.col("id"), F.lit(False)))
+    fresh = good.filter("NOT again")
+    topics = fresh.filter("topic_key IS NOT NULL").groupBy("topic_key", "scope").agg(first.alias("t0"))
+    fresh = fresh.join(topics, ["topic_key", "scope"], "left").withColumn("updates", F.coalesce(F.col("t0.id") != F.col("id"), F.lit(False)))
+    new = window_dedupe(fresh.filter("NOT updates"), "normalized_hash", "created_at", "id", days)
+    out = rows.filter("bad").select("id", F.lit("rejected").alias("outcome"))
+    out = out.unionByName(good.filter("again").select("id", F.lit("repeated").alias("outcome")))
+    out = out.unionByName(fresh.filter("updates").select("id", F.lit("topic_update").alias("outcome")))
+    return out.unionByName(new.select("id", F.when(F.col("duplicate"), "duplicate").otherwise("inserted").alias("outcome")))
