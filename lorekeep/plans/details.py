@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
@@ -17,7 +17,10 @@ from lorekeep.sources.memory import facts, links, mentions, observations, querie
 R = Registry()
 O = "WITH o AS (SELECT DISTINCT * FROM observations) "  # noqa: E741
 F_ = "WITH f AS (SELECT DISTINCT * FROM facts) "
-N = F.count(F.lit(1))
+
+
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 @R.add("point_lookup", O + "SELECT id, sync_id, title FROM o WHERE deleted_at IS NULL AND id = (SELECT max(id) FROM o WHERE deleted_at IS NULL)")
@@ -57,7 +60,7 @@ def save_validation(spark: SparkSession, folder: str) -> DataFrame:
     o = observations(spark, folder)
     bad_scope = F.col("scope").isNull() | ~F.col("scope").isin("project", "personal", "team")
     reason = F.when(F.col("content").isNull() | (F.trim("content") == ""), "blank").when(F.length("content") > 1000, "long").when(bad_scope, "scope").otherwise("ok")
-    return o.select(reason.alias("reason")).groupBy("reason").agg(N.alias("n"))
+    return o.select(reason.alias("reason")).groupBy("reason").agg(_n().alias("n"))
 
 
 _SAVE = """
@@ -81,7 +84,7 @@ def save_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 @R.add("facts_of_observations", F_ + "SELECT evidence_obs_id AS id, count(*) AS facts, round(max(salience), 6) AS top_salience FROM f WHERE evidence_obs_id IS NOT NULL GROUP BY 1")
 def facts_of_observations(spark: SparkSession, folder: str) -> DataFrame:
     f = facts(spark, folder).filter("evidence_obs_id IS NOT NULL")
-    return f.groupBy(F.col("evidence_obs_id").alias("id")).agg(N.alias("facts"), F.round(F.max("salience"), 6).alias("top_salience"))
+    return f.groupBy(F.col("evidence_obs_id").alias("id")).agg(_n().alias("facts"), F.round(F.max("salience"), 6).alias("top_salience"))
 
 
 _CE = "WITH m AS (SELECT DISTINCT l.entity_id AS e, f.evidence_obs_id AS o FROM entity_links l JOIN facts f ON f.fact_id = l.fact_id WHERE f.evidence_obs_id IS NOT NULL), ce AS (SELECT a.e AS src, b.e AS dst, a.o FROM m a JOIN m b ON a.o = b.o AND a.e < b.e) "
@@ -95,7 +98,7 @@ def edge_upsert(spark: SparkSession, folder: str) -> DataFrame:
     for side in (0, 1):  # the two halves together are all mentions
         e = m.filter(F.pmod("observation_id", F.lit(2)) == side)
         pair = e.select(F.col("entity_id").alias("src"), "observation_id").join(e.select(F.col("entity_id").alias("dst"), "observation_id"), "observation_id").filter("src < dst")
-        g = pair.groupBy("src", "dst").agg(N.alias("weight"), F.min("observation_id").alias("first_obs"), F.max("observation_id").alias("last_obs"))
+        g = pair.groupBy("src", "dst").agg(_n().alias("weight"), F.min("observation_id").alias("first_obs"), F.max("observation_id").alias("last_obs"))
         out = g if out is None else out.unionByName(g)
     return out.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.min("first_obs").alias("first_obs"), F.max("last_obs").alias("last_obs"))
 
@@ -104,7 +107,7 @@ def edge_upsert(spark: SparkSession, folder: str) -> DataFrame:
 def fact_packs(spark: SparkSession, folder: str) -> DataFrame:
     """Facts that say the same, with the number of their sources."""
     f = facts(spark, folder)
-    return f.groupBy(*[F.lower(c).alias(c) for c in ("subject", "predicate", "object")]).agg(N.alias("n"), F.countDistinct("evidence_obs_id").alias("sources"), F.min("fact_id").alias("first_fact"))
+    return f.groupBy(*[F.lower(c).alias(c) for c in ("subject", "predicate", "object")]).agg(_n().alias("n"), F.countDistinct("evidence_obs_id").alias("sources"), F.min("fact_id").alias("first_fact"))
 
 
 @R.add("project_round_robin", O + """
@@ -137,7 +140,7 @@ SELECT id, count(*) AS members FROM reach GROUP BY 1
 def lineage_closure(spark: SparkSession, folder: str) -> DataFrame:
     """How many observations share the lineage of each one, in both directions: those of the same root or circle."""
     t = hierarchy(table(spark, folder, "observations"), "id", "superseded_by_id")
-    n = t.groupBy("root_id").agg(N.alias("members"))
+    n = t.groupBy("root_id").agg(_n().alias("members"))
     linked = t.join(n, "root_id").filter("members > 1 OR is_cycle")
     return linked.select(F.col("node_id").alias("id"), "members")
 
@@ -151,7 +154,7 @@ def fact_membership(spark: SparkSession, folder: str) -> DataFrame:
     q = queries(spark, folder).select(F.col("query_id").alias("query"), F.array_distinct(tx.tokens(F.col("text"))).alias("t")).withColumn("need", F.size("t"))
     f = facts(spark, folder).select("fact_id", F.explode(F.array_distinct(tx.tokens(F.concat_ws(" ", "subject", "predicate", "object")))).alias("word"))
     hit = f.join(F.broadcast(q.select("query", "need", F.explode("t").alias("word"))), "word")  # words of the fixed entities
-    return hit.groupBy("query", "fact_id", "need").agg(N.alias("n")).filter("n = need").select("query", "fact_id")
+    return hit.groupBy("query", "fact_id", "need").agg(_n().alias("n")).filter("n = need").select("query", "fact_id")
 
 
 @R.add("title_conflicts", O + """
@@ -244,14 +247,14 @@ def open_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 @R.add("change_deliveries", "SELECT change_id, count(*) AS deliveries, min(feed_pos) AS first_pos, arg_min(sync_id, feed_pos) AS sync_id FROM observation_changes GROUP BY 1")
 def change_deliveries(spark: SparkSession, folder: str) -> DataFrame:
     """Each change once, by its first delivery."""
-    return table(spark, folder, "observation_changes").groupBy("change_id").agg(N.alias("deliveries"), F.min("feed_pos").alias("first_pos"), F.min_by("sync_id", "feed_pos").alias("sync_id"))
+    return table(spark, folder, "observation_changes").groupBy("change_id").agg(_n().alias("deliveries"), F.min("feed_pos").alias("first_pos"), F.min_by("sync_id", "feed_pos").alias("sync_id"))
 
 
 @R.add("deletable_sessions", O + "SELECT session_id, count(*) AS observations FROM o WHERE session_id IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (deleted_at IS NULL) = 0")
 def deletable_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions without a live observation."""
     g = observations(spark, folder).filter("session_id IS NOT NULL").groupBy("session_id")
-    return g.agg(N.alias("observations"), F.count_if(F.col("deleted_at").isNull()).alias("live")).filter("live = 0").select("session_id", "observations")
+    return g.agg(_n().alias("observations"), F.count_if(F.col("deleted_at").isNull()).alias("live")).filter("live = 0").select("session_id", "observations")
 
 
 @R.add("cascade_children", O + """
@@ -268,7 +271,7 @@ def cascade_children(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add("prunable_projects", O + "SELECT project, count(*) AS observations FROM o GROUP BY 1 HAVING count(*) FILTER (deleted_at IS NULL) <= 1")
 def prunable_projects(spark: SparkSession, folder: str) -> DataFrame:
-    g = observations(spark, folder).groupBy("project").agg(N.alias("observations"), F.count_if(F.col("deleted_at").isNull()).alias("live"))
+    g = observations(spark, folder).groupBy("project").agg(_n().alias("observations"), F.count_if(F.col("deleted_at").isNull()).alias("live"))
     return g.filter("live <= 1").select("project", "observations")
 
 
@@ -288,13 +291,13 @@ def worst_state(spark: SparkSession, folder: str) -> DataFrame:
 def session_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions with facts enough to be summarised."""
     g = facts(spark, folder).filter("source_session IS NOT NULL").groupBy(F.col("source_session").alias("session_id"))
-    return g.agg(N.alias("facts"), F.round(F.sum("salience"), 3).alias("salience")).filter("facts >= 3")
+    return g.agg(_n().alias("facts"), F.round(F.sum("salience"), 3).alias("salience")).filter("facts >= 3")
 
 
 @R.add("sync_status", "SELECT project, count(DISTINCT change_id) AS changes, count(*) AS deliveries, count(*) - count(DISTINCT change_id) AS repeats, count(DISTINCT sync_id) AS records FROM observation_changes GROUP BY 1")
 def sync_status(spark: SparkSession, folder: str) -> DataFrame:
     g = table(spark, folder, "observation_changes").groupBy("project")
-    return g.agg(F.countDistinct("change_id").alias("changes"), N.alias("deliveries"), (N - F.countDistinct("change_id")).alias("repeats"), F.countDistinct("sync_id").alias("records"))
+    return g.agg(F.countDistinct("change_id").alias("changes"), _n().alias("deliveries"), (_n() - F.countDistinct("change_id")).alias("repeats"), F.countDistinct("sync_id").alias("records"))
 
 
 @R.add("doctor_findings", O + """
@@ -313,7 +316,7 @@ def doctor_findings(spark: SparkSession, folder: str) -> DataFrame:
     }
     out = None
     for name, rows in rules.items():
-        r = rows.agg(N.alias("n")).select(F.lit(name).alias("rule"), "n")
+        r = rows.agg(_n().alias("n")).select(F.lit(name).alias("rule"), "n")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -350,7 +353,7 @@ def decision_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add("type_families", O + "SELECT CASE WHEN lower(type) IN ('decision','policy','preference','pattern','summary','discovery') THEN lower(type) WHEN lower(type) IN ('bugfix','fix') THEN 'fix' ELSE 'note' END AS family, count(*) AS n FROM o GROUP BY 1")
 def type_families(spark: SparkSession, folder: str) -> DataFrame:
-    return observations(spark, folder).select(tx.family(F.col("type")).alias("family")).groupBy("family").agg(N.alias("n"))
+    return observations(spark, folder).select(tx.family(F.col("type")).alias("family")).groupBy("family").agg(_n().alias("n"))
 
 
 @R.add("temporal_order", """
@@ -370,5 +373,5 @@ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, eve
 def session_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions of events less than half an hour apart."""
     e = table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    g = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(N.alias("n"))
+    g = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(_n().alias("n"))
     return g.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")

@@ -79,3 +79,13 @@ def test_entry_runs(spark):
 
     df = e.entry(spark)
     assert df.columns == ["query", "doc", "score", "rank"] and df.count() > 0
+
+
+def test_imports_need_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr
