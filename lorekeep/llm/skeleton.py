@@ -39,20 +39,30 @@ LOOK_ALIKES = {
 }
 
 
+#: Compatibility forms that readers tell from the plain characters: raised, lowered, circled and squared ones, fractions.
+APART = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>")
+
+
+def _prototype(c: str) -> str:
+    """The prototype of one character that cannot be decomposed."""
+    cp, kind = ord(c), unicodedata.category(c)
+    if c in LOOK_ALIKES:
+        return LOOK_ALIKES[c]
+    if kind == "Zs":
+        return " "
+    if kind == "Cf" or cp in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= cp <= 0x180F or 0xFE00 <= cp <= 0xFE0F or 0xE0000 <= cp <= 0xE0FFF:
+        return ""  # format characters, fillers and variation selectors
+    return c
+
+
 class _Prototypes(dict):
-    """Code point -> prototype, filled as characters are met (by rule where the table has none)."""
+    """Code point -> prototypes of its decomposition, filled as characters are met."""
 
-    def __missing__(self, cp: int) -> str | None:
+    def __missing__(self, cp: int) -> str:
         c = chr(cp)
-        kind = unicodedata.category(c)
-        if c in LOOK_ALIKES:
-            out: str | None = LOOK_ALIKES[c]
-        elif kind == "Zs":
-            out = " "
-        elif kind == "Cf" or cp in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0x180B <= cp <= 0x180F or 0xFE00 <= cp <= 0xFE0F or 0xE0000 <= cp <= 0xE0FFF:
-            out = None  # format characters, fillers and variation selectors
-        else:
-            out = c
+        apart = unicodedata.decomposition(c).startswith(APART)
+        parts = c if apart or c in LOOK_ALIKES else unicodedata.normalize("NFKD", c)
+        out = "".join(_prototype(x) for x in parts)
         self[cp] = out
         return out
 
@@ -64,8 +74,8 @@ def skeleton(text: str) -> str:
     """The skeleton of one text; equal for texts that read the same."""
     if text.isascii():
         return text
-    out = unicodedata.normalize("NFKD", text).translate(_TABLE)
-    return out if out.isascii() else unicodedata.normalize("NFKD", out)
+    out = text.translate(_TABLE)
+    return out if out.isascii() else unicodedata.normalize("NFD", out)
 
 
 def _digest(text: str) -> bytes:

@@ -14,7 +14,7 @@ def test_same_to_a_reader(a, b):
     assert a != b and skeleton(a) == skeleton(b)
 
 
-@pytest.mark.parametrize(("a", "b"), [("Word", "word"), ("cafe", "café"), ("v1", "v2"), ("l1", "ll"), ("O0", "OO"), ("a b", "ab"), ("a b", "a  b"), ("дом", "том"), ("naïve", "naive"), ("rn", "m"), ("a\nb", "a b")])
+@pytest.mark.parametrize(("a", "b"), [("Word", "word"), ("cafe", "café"), ("v1", "v2"), ("l1", "ll"), ("O0", "OO"), ("a b", "ab"), ("a b", "a  b"), ("дом", "том"), ("naïve", "naive"), ("rn", "m"), ("a\nb", "a b"), ("x²", "x2"), ("H₂O", "H2O"), ("①", "1"), ("½", "1/2")])
 def test_different_to_a_reader(a, b):
     assert skeleton(a) != skeleton(b)
 
