@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import STOP_WORDS, tokens
+from lorekeep.scratch import Scratch
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -34,8 +35,10 @@ def phrase_table(queries: DataFrame, query: str, text: str, tiered: bool = False
     return whole.unionByName(pairs).unionByName(single).distinct()
 
 
-def _tails(c: str, most: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.array_join(F.slice(c, i, most), " "))
+def _tails(c: str, most: int, weight: float) -> Column:
+    """What follows at each position of a column's tokens, with the column's weight."""
+    at = F.when(F.size(c) > 0, F.sequence(F.lit(1), F.size(c))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(F.array_join(F.slice(c, i, most), " ").alias("tail"), F.lit(weight).alias("weight")))
 
 
 def phrase_hits(corpus: DataFrame, phrases: DataFrame, columns: dict[str, float], most_words: int, broadcast_rows: int = 200_000) -> DataFrame:
@@ -44,10 +47,8 @@ def phrase_hits(corpus: DataFrame, phrases: DataFrame, columns: dict[str, float]
     Each token position carries the next few tokens; phrases meet positions by their
     first word and must be a prefix of what follows there.
     """
-    tails = None
-    for c, weight in columns.items():
-        g = corpus.filter(F.size(c) > 0).select("doc", "size", F.explode(_tails(c, most_words)).alias("tail"), F.lit(weight).alias("weight"))
-        tails = g if tails is None else tails.unionByName(g)
+    # one pass over the corpus for all columns
+    tails = corpus.select("doc", "size", F.explode(F.concat(*[_tails(c, most_words, w) for c, w in columns.items()])).alias("x")).select("doc", "size", "x.tail", "x.weight")
     tails = tails.withColumn("head", F.substring_index("tail", " ", 1))
     wanted = phrases.select("query", "phrase", F.substring_index("phrase", " ", 1).alias("head"))
     small = phrases.count() <= broadcast_rows  # a checked size; larger query sets are shuffled by first word
@@ -58,6 +59,7 @@ def phrase_hits(corpus: DataFrame, phrases: DataFrame, columns: dict[str, float]
 
 def bm25(corpus: DataFrame, hits: DataFrame, bag: bool = False) -> DataFrame:
     """(query, doc, score): higher is better. ``bag``: only documents with every phrase of the query."""
+    hits = Scratch(hits.sparkSession, "bm25").save(hits)  # used twice; found once
     n = corpus.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("size").alias("avg_size"))
     df = hits.groupBy("phrase").agg(F.countDistinct("doc").cast("double").alias("n_hit"))
     s = hits.join(df, "phrase").crossJoin(F.broadcast(n))  # one row of statistics
