@@ -72,3 +72,22 @@ def turn_windows(df: DataFrame, by: list[str], order: list[Column], size: int =
     first = F.greatest(F.lit(0), F.ceil((F.col("pos") - (size - 1)) / stride))
     upto = F.least(last, F.floor(F.col("pos") / stride))
     return d.filter(first <= upto).withColumn("window", F.explode(F.sequence(first, upto))).drop("__n")
+
+
+def skip_pack(df: DataFrame, by: list[str], budget: int, most: int = 200) -> DataFrame:
+    """Rows of each group in rank order, each taken if it still fits; only the ``most`` best ranks of a group are considered.
+
+    ``df``: the ``by`` columns, key, rank and size.
+    """
+    rows = df.filter(F.col("rank") <= most).select(*by, "key", "rank", "size")
+
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        left, keep = budget, []
+        g = g.sort_values(["rank", "key"])
+        for i, size in zip(g.index, g["size"]):
+            if size <= left:
+                keep.append(i)
+                left -= size
+        return g.loc[keep]
+
+    return rows.groupBy(*by).applyInPandas(pack, rows.schema)

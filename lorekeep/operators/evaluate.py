@@ -52,3 +52,12 @@ def failure_class(correct: Column, evidence: Column, n_facts: Column, n_obs: Col
         .when(n_obs == 0, "context_packing")
         .otherwise("answer_synthesis")
     )
+
+
+def stale_served(gold_rank: Column, anti_rank: Column, gold_said: Column, anti_said: Column) -> Column:
+    """Whether a stale answer came out: by rank if hits hold it, else by what was answered. Null ranks are misses."""
+    return (
+        F.when(anti_rank.isNotNull() & gold_rank.isNull(), True)
+        .when(anti_rank.isNotNull(), anti_rank < gold_rank)
+        .otherwise(anti_said & ~gold_said)
+    )

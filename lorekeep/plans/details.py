@@ -375,3 +375,72 @@ def session_windows(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     g = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(_n().alias("n"))
     return g.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+_SIZE = "ceil(length(coalesce(type,'') || chr(10) || coalesce(title,'') || chr(10) || coalesce(content,'')) / 4)::BIGINT"
+
+
+@R.add("context_final", O + f"""
+, q AS (SELECT *, row_number() OVER (PARTITION BY project, type ORDER BY created_at DESC, id DESC) AS turn FROM o WHERE deleted_at IS NULL AND (verify_state IS NULL OR verify_state NOT IN ('stale','invalidated','unprovable'))),
+p AS (SELECT project, id, turn, sum({_SIZE}) OVER (PARTITION BY project ORDER BY turn, created_at DESC, id DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS tokens FROM q WHERE turn <= 4) SELECT project, id, turn, tokens FROM p WHERE tokens <= 1500
+""")
+def context_final(spark: SparkSession, folder: str) -> DataFrame:
+    """A briefing for each project: fresh rows, kinds in turns, packed into 1 500 tokens."""
+    from lorekeep.operators import context as cx
+
+    o = observations(spark, folder, live_only=True).filter(F.col("verify_state").isNull() | ~F.col("verify_state").isin("stale", "invalidated", "unprovable"))
+    q = cx.type_round_robin(o, ["project"], "type", [F.desc("created_at"), F.desc("id")], 4)
+    p = cx.token_pack(q, ["project"], F.col("turn"), [F.col("turn"), F.desc("created_at"), F.desc("id")], tx.token_estimate(F.col("type"), F.col("title"), F.col("content")), 1500)
+    return p.select("project", "id", "turn", F.col("tokens_after").alias("tokens"))
+
+
+@R.add("fact_char_pack", F_ + """
+, s AS (SELECT project, fact_id, row_number() OVER w AS rank, sum(length(coalesce(subject,'') || ' ' || coalesce(predicate,'') || ' ' || coalesce(object,''))) OVER (w ROWS UNBOUNDED PRECEDING)::BIGINT AS chars FROM f WINDOW w AS (PARTITION BY project ORDER BY salience DESC, fact_id))
+SELECT project, fact_id, chars FROM s WHERE chars <= 600 OR rank = 1
+""")
+def fact_char_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """The weightiest facts of each project that fit 600 characters; the first is always kept."""
+    from lorekeep.operators.prefix import block_prefix_sum
+
+    f = facts(spark, folder).withColumn("n", F.length(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("subject", "predicate", "object")])))
+    s = block_prefix_sum(f, ["project"], -F.floor(F.col("salience") * 50), [F.desc("salience"), F.col("fact_id")], F.col("n"), "before")
+    return s.filter((F.col("before") + F.col("n") <= 600) | (F.col("before") == 0)).select("project", "fact_id", (F.col("before") + F.col("n")).alias("chars"))
+
+
+@R.add("skip_pack")
+def skip_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Each project's newest observations, taken greedily into 1 000 tokens."""
+    from lorekeep.operators import context as cx
+
+    w = Window.partitionBy("project").orderBy(F.desc("created_at"), F.desc("id"))
+    o = observations(spark, folder, live_only=True).select("project", F.col("id").alias("key"), F.row_number().over(w).cast("long").alias("rank"), tx.token_estimate(F.col("type"), F.col("title"), F.col("content")).alias("size"))
+    return cx.skip_pack(o, ["project"], 1000).withColumnRenamed("key", "id")
+
+
+@R.add("retrieval_trace", F_ + """
+, a AS (SELECT project, fact_id, row_number() OVER (PARTITION BY project ORDER BY salience DESC, fact_id) AS ra, row_number() OVER (PARTITION BY project ORDER BY extracted_at DESC, fact_id) AS rb FROM f),
+l AS (SELECT project, fact_id, 1 AS lane, ra AS rank FROM a WHERE ra <= 10 UNION ALL SELECT project, fact_id, 2, rb FROM a WHERE rb <= 10),
+g AS (SELECT project, fact_id, sum(1.0 / (60 + rank)) AS score, coalesce(max(CASE lane WHEN 1 THEN rank END), 0) AS lane1, coalesce(max(CASE lane WHEN 2 THEN rank END), 0) AS lane2, min(lane * 100000 + rank) AS seen FROM l GROUP BY 1, 2)
+SELECT project, fact_id, lane1, lane2, round(score, 9) AS score, row_number() OVER (PARTITION BY project ORDER BY round(score, 12) DESC, seen, fact_id) AS fused FROM g
+""")
+def retrieval_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts by weight and by age fused per project, with the rank in each lane (0: not in it)."""
+    from lorekeep.operators.fusion import reciprocal_rank
+
+    f = facts(spark, folder)
+    a = ranked(f, ["project"], [F.desc("salience"), F.col("fact_id")], 10).select("project", "fact_id", F.lit(1).alias("lane"), "rank")
+    b = ranked(f, ["project"], [F.desc("extracted_at"), F.col("fact_id")], 10).select("project", "fact_id", F.lit(2).alias("lane"), "rank")
+    lanes = a.unionByName(b)
+    fused = reciprocal_rank(lanes, by=("project",), item="fact_id").withColumnRenamed("rank", "fused")
+    own = lanes.groupBy("project", "fact_id").agg(*[F.coalesce(F.max(F.when(F.col("lane") == n, F.col("rank"))), F.lit(0)).alias(f"lane{n}") for n in (1, 2)])
+    return fused.join(own, ["project", "fact_id"]).select("project", "fact_id", "lane1", "lane2", F.round("score", 9).alias("score"), "fused")
+
+
+@R.add("fact_lane_boost", F_ + """
+, r AS (SELECT evidence_obs_id AS id, row_number() OVER (PARTITION BY project ORDER BY salience DESC, fact_id) AS rank FROM f WHERE evidence_obs_id IS NOT NULL)
+SELECT id, round(max(greatest(0.6 - 0.02 * (rank - 1), 0.2)), 6)::DOUBLE AS boost FROM r GROUP BY 1
+""")
+def fact_lane_boost(spark: SparkSession, folder: str) -> DataFrame:
+    """What an observation gains from the rank of its facts: 0.6 less 0.02 a place, at least 0.2."""
+    r = ranked(facts(spark, folder).filter("evidence_obs_id IS NOT NULL"), ["project"], [F.desc("salience"), F.col("fact_id")])
+    return r.groupBy(F.col("evidence_obs_id").alias("id")).agg(F.round(F.max(F.greatest(0.6 - 0.02 * (F.col("rank") - 1), F.lit(0.2))), 6).alias("boost"))

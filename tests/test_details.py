@@ -65,13 +65,25 @@ def test_reads(spark):
     assert rows(max_pool(hits, spark.createDataFrame([(1, 7), (2, 7), (9, 8)], "id long, parent long"))) == [(1, 7, 0.2), (1, 8, 0.1)]
 
 
+def test_greedy_pack_and_stale_answers(spark):
+    from lorekeep.operators import context as cx
+    from lorekeep.operators import evaluate as ev
+
+    df = spark.createDataFrame([("p", i, i, s) for i, s in enumerate([50, 60, 40, 10, 1])], "p string, key long, rank long, size long")
+    assert rows(cx.skip_pack(df, ["p"], 100), "key") == [(0,), (2,), (3,)]
+    data = [(None, 1, False, False), (2, 1, False, False), (1, 2, False, True), (None, None, False, True), (None, None, True, True)]
+    d = spark.createDataFrame(data, "g int, a int, gs boolean, sa boolean")
+    got = [r[0] for r in d.select(ev.stale_served(F.col("g"), F.col("a"), F.col("gs"), F.col("sa"))).collect()]
+    assert got == [True, True, False, True, False]
+
+
 def test_queries_are_named_once_and_have_twins():
     import __spark_entry__ as e
 
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and len(q) > 90
     core = {k for k in q if not k.startswith("p")}
-    assert {k for k in core if k not in s} == {"slot_pack"}
+    assert {k for k in core if k not in s} == {"slot_pack", "skip_pack"}
 
 
 def test_entry_runs(spark):
