@@ -69,7 +69,7 @@ class Lexicon:
                 got = "G"
             elif low in _PARTICLES:
                 got = "P"
-            elif low in _STREET_END or low in _STREET_FRONT or low in _STREET_ES or (len(low) > 5 and low.endswith(_STREET_DE)):
+            elif low in _STREET_END or low in _STREET_FRONT or low in _STREET_ES or (len(low) > 5 and low.endswith(_STREET_DE) and (word[0].isupper() or not low.endswith("ring"))):
                 got = "S"
             elif low in _TITLES:
                 got = "T"
