@@ -39,6 +39,7 @@ _STREET_FRONT = {"rue", "avenue", "boulevard", "bd", "impasse", "chemin", "place
 _STREET_ES = {"calle", "camino", "plaza", "avenida", "avda", "paseo", "ronda", "travesía", "carretera", "callejón", "c"}
 _STREET_DE = ("straße", "strasse", "str", "gasse", "allee", "weg", "platz", "ufer", "damm", "ring")
 _DE_FRONT = {"am", "an", "auf", "im", "in", "zum", "zur", "unter"}
+_LABELS = {"tel", "fon", "fax", "phone", "telefon", "teléfono", "téléphone", "mobile", "mobil", "cell", "mail", "email", "courriel", "correo", "and", "und", "et", "y", "or", "oder", "ou"}
 _TITLES = {"dr", "mr", "mrs", "ms", "prof", "herr", "frau", "mme", "sr", "sra", "señor", "señora"}
 
 
@@ -57,12 +58,14 @@ class Lexicon:
         self.memo: dict[str, str] = {}
 
     def kind(self, word: str) -> str:
-        """G given, F family, f built like a family name, P particle, I initial, h inner apostrophe or hyphen, S street word, w other."""
+        """G given, F family, f built like a family name, P particle, I initial, h inner apostrophe or hyphen, S street word, T title, X label or joining word, w other."""
         got = self.memo.get(word)
         if got is None:
             low = word.lower().rstrip(".")
             if len(low) == 1 and low.isalpha():
-                got = "I"
+                got = "I" if word[0].isupper() or word.endswith(".") else "X"
+            elif low in _LABELS:
+                got = "X"
             elif low in self.family:
                 got = "F"
             elif low in self.given:
@@ -157,7 +160,7 @@ _PHONES = [
 _IDS = [
     ("ssn", re.compile(r"(?<![\w.+-])\d{3}([- ])\d{2}\1\d{4}(?![\w]|-\d)")),
     ("ni", re.compile(r"(?<![\w.+-])[A-Z]{2}( ?)\d\d\1\d\d\1\d\d\1[A-D](?![\w])", re.I)),
-    ("passport", re.compile(r"(?<![\w.+-])[A-Z]{1,2} ?\d{6,9}(?![\w]|-\d)", re.I)),
+    ("passport", re.compile(r"(?<![\w.+-])(?:[A-Z]{1,2}\d{6,9}|[a-z]{1,2}\d{8,9})(?![\w]|-\d)")),
     ("dni", re.compile(r"(?<![\w.+-])\d{8}-?[A-Z](?![\w])", re.I)),
     ("tax", re.compile(r"(?<![\w.+-])\d{2}([ ./-])\d{3}\1\d{3}\1\d{3}(?![\w]|-\d)")),
     ("tax11", re.compile(r"(?<![\w.+-])\d{11}(?![\w]|-\d)")),
@@ -185,7 +188,7 @@ def _numbers(text: str) -> Iterator[Span]:
 _NAMEWORD = r"[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*"
 _NUM = r"(?<![\w.,/-])\d{1,5} ?[a-z]?(?: (?:bis|ter|quater))?"
 _LINK = r"(?:(?:de la|de l['’]|du|des|de|d['’]|la|le|les|del|de las|de los|el|las|los)(?<=['’])|(?:de las|de los|de la|del|du|des|de|la|le|les|el|las|los) )"
-_EN = re.compile(rf"(?<![\w.,/-])\d{{1,5}}(?: ?[a-z])?(?: [^\W\d_]['’\w-]+\.?){{1,3}}? (?:{'|'.join(sorted(_STREET_END, key=len, reverse=True))})\b\.?", re.I)
+_EN = re.compile(rf"(?<![\w.,/-])\d{{1,5}}(?: ?[a-z])?(?: (?:(?:st|mt|gt)\.|[^\W\d_]['’\w-]+)){{1,3}}? (?:{'|'.join(sorted(_STREET_END, key=len, reverse=True))})\b\.?", re.I)
 _FR = re.compile(rf"{_NUM},? (?:{'|'.join(sorted(_STREET_FRONT, key=len, reverse=True))}) (?:{_LINK})?{_NAMEWORD}(?: {_NAMEWORD}){{0,2}}?(?=[,.;)\n\"]|$| )", re.I)
 _ES = re.compile(rf"(?<![\w/])(?:calle|camino|plaza|avenida|avda\.?|paseo|ronda|travesía|carretera|callejón|c/) ?(?:{_LINK})?{_NAMEWORD}(?: {_NAMEWORD}){{0,2}},? \d{{1,4}}(?: ?[a-z]\b)?(?![\w])", re.I)
 _DE = re.compile(rf"(?<![\w/])(?:{_NAMEWORD}(?:straße|strasse|str\.|gasse|allee|weg|platz|ufer|damm|ring)|(?:{_NAMEWORD} )?(?:straße|strasse|str\.|gasse|allee|platz)|(?:an der|an den|am|auf dem|auf der|im|in der|zum|zur|unter den) {_NAMEWORD}(?: {_NAMEWORD})?) \d{{1,4}}(?: ?[a-z]\b)?(?![\w])", re.I)
@@ -270,14 +273,14 @@ def _names(text: str, words: list[tuple[int, int, str, str]]) -> Iterator[Span]:
     n = len(words)
     for i in range(n - 1):
         c0, w0 = words[i][3], words[i][2]
-        if c0 in "ST" or c0 == "w" and not w0[0].isupper() and words[i + 1][3] not in "Ff":
+        if c0 in "STX" or c0 == "w" and not w0[0].isupper() and words[i + 1][3] not in "Ff":
             continue
         if words[i + 1][0] - words[i][1] > 2:
             continue
         comma, caps = -1, []
         for j in range(i, min(i + 5, n)):
             s, e, w, c = words[j]
-            if c in "ST":
+            if c in "STX":
                 break
             if j > i:
                 gap = text[words[j - 1][1] : s]

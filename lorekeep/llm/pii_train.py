@@ -28,21 +28,20 @@ _TOWNS_ES = ["Villanera", "Puerto Alcanor", "Torre del Olmo", "Peñablanca", "Sa
 _ROADS = ["Maple", "Thorn", "Kestrel", "Halewood", "Larch", "Marlowe", "Copper Beech", "Old Mill", "Ninth", "Wickham", "Juniperus", "Slate"]
 _ROAD_KIND = ["Street", "St.", "Road", "Rd.", "Avenue", "Ave", "Lane", "Close", "Court", "Drive", "Way", "Terrace", "Boulevard", "Place"]
 _FR = ["rue des Lilas", "avenue du Vieux-Port", "chemin de la Brise", "impasse des Tonneliers", "boulevard Orlan", "place Saint-Roch", "quai de l'Aube", "rue Haute"]
-_DE = ["Lindengasse", "Uferallee", "Quellstraße", "Finkenstr.", "Am Alten Markt", "An der Mühle", "Bergweg", "Birkenplatz", "Im Winkel"]
+_VERBS = ["Appeler", "Contacter", "Prévenir", "Consulter", "Voir", "Rappeler", "Llamar", "Contactar", "Informar", "Buscar", "Fragen", "Rufen", "Notify", "Remind", "Ping", "Tell", "Inform", "Thank", "Alert", "Visit"]
+_DE = ["Am Hohen Tor", "Auf dem Kamp", "Unter den Eichen", "Am Neuen Hafen", "Lindengasse", "Uferallee", "Quellstraße", "Finkenstr.", "Am Alten Markt", "An der Mühle", "Bergweg", "Birkenplatz", "Im Winkel"]
 _ES = ["Calle del Olmo", "Camino Viejo", "Plaza de las Velas", "Avda. Peñablanca", "Paseo de la Ribera", "Calle Mayor"]
 _IDENT = ["anchor_tracer_lane", "batchProbe36", "queue/batch_slot.proto", "slot.warm_lane", "cache::fold_lane", "shardVertex", "trim_hint", "edge/pack_tombstone.rs"]
 _NOISE = [
-    "Commit {h} taught {i} to skip {n} rows flagged by {i}.", "The migration {i} adds {n} columns and takes {n} seconds on the session store.", "Swapped {i} for {i} inside {i}; recall rose by {n} points.",
-    "Users saw an empty page whenever {i} met a {i} above {n}.", "Benchmarks of {i} went from {n} ms to {n} minutes once {i} reached {n}.", "Under load {n} the job runner emits a lost update.",
-    "Decision: {i} stays at {n}, and {i} owns it from now on.", "Rolled back {h} since {i} still relied on {i} during a slow scan.", "Because of a stale file, {i} pins {h} and refuses {i}.", "Keep {i} idempotent: the cache layer retries it up to {n} times.", "Session goal reached: {i} merges {n} drafts without a half-written file.", "Users saw an off-by-one page and a half-written entry at {n}.",
+    "Change {h} makes {i} drop {n} rows.", "Column {i} now takes {n} bytes on the store.", "Replaced {i} by {i} in {i}; it is {n} points better.", "An empty page came up when {i} met {i} over {n}.", "{i} went from {n} ms to {n} minutes after {i}.", "With {n} clients the runner loses an update.",
+    "We keep {i} at {n}, and {i} owns it.", "Reverted {h} as {i} needs {i} for a slow scan.", "After a stale read {i} uses {h} and skips {i}.", "{i} may run twice: the cache retries it {n} times.", "THE {i} AND {i} SHARE A LOCK, SEE ABOVE.", "A half-read file and an off-by-two page at {n}.",
 ]
 _TITLE_WORDS = ["Stale", "Retry", "Period", "Done", "Dirty", "Index", "Queue", "Lane", "Fail", "Ready", "Window", "Cache", "Budget", "Ledger", "Read", "Flush", "Signal", "Note", "Level", "Page", "Entry", "Policy", "Token", "Review"]
 _DECOYS = [
-    "Ticket {n4}-{n2}-{n4} tracks the rest.", "Build {n4}.{n2}.{n4} passed, {n4}.{n2}.{n6} did not.", "epoch 17{n4}{n6} was written instead of a date", "Reach the endpoint at 127.0.0.1, port {n4}.", "Trace 7f{n4}-{n4}-4e{n2} ended at offset {n4}.",
-    "The Grace Period of {n2} minutes must not change.", "Mark Done and Will Retry are two states of one lease.", "Use the @cached_{w} decorator, see section 4.{n2}.", "Bumped pkg@{n1}.{n2}.{n1} after the lock file complained.", "Lane {n2} of the index is slower than lane 2.",
-    "Street level detail is out of scope.", "Ports {n4} to {n4} are taken on the runner.", "Hope for the best, plan for the rest.", "Mark Read is a flag, not a person.", "The Rose Garden build failed on Court Drive tests.", "Row {n4} {n4} {n4} was skipped.", "Version 10.{n3}.{n4} is out.",
-    "The Review Queue and the Token Packer share one lock.", "Set Grace Window to {n2}.", "Order {n3}-{n4} and part {n2}-{n3}-{n1} arrived.", "Range 1000-{n4} is free, id {n6} is not.", "Will Power said no such thing exists in the Hope Index.", "{G} {W} and {G} {W} are two states of one lease.", "The {G} {W} of {n2} minutes must not change.", "{G} {W} is a setting.", "Press {G} {W} to go on.", "The {W} {W} and the {W} {W} differ.", "{W} {W} {n2} failed.",
-    "See {G} {W}, then {W} {G}.", "The states are {G} {W} and {G} {W}.", "It moved from {G} {W} to {G} {W}.", "Both {G} {W} and {W} {W} fail.", "{G} {W} of {n2}, {G} {W} of {n2}.", "the {G} {W}.", "user@host failed, root@localhost did not",
+    "Case {n4}-{n2}-{n4} is closed.", "Release {n4}.{n2}.{n4} works, {n4}.{n2}.{n6} does not.", "timestamp 17{n4}{n6} is in the log", "Listen on 10.0.0.{n1}, port {n4}.", "Span 7f{n4}-{n4}-4e{n2} took long.", "See {n4}.{n3} in the manual.", "Upgrade lib@{n1}.{n2}.{n1} first.", "the @{w} annotation is gone",
+    "Lane {n2} is slower than lane {n1}.", "The street map layer is off.", "Use port {n4} or {n4}.", "Hope for the best, plan for the rest.", "Row {n4} {n4} {n4} was skipped.", "Version 10.{n3}.{n4} is out.", "Order {n3}-{n4} and part {n2}-{n3}-{n1} arrived.", "Range 1000-{n4} is free, id {n6} is not.",
+    "user@host failed, root@localhost did not", "The {G} {W} lasts {n2} seconds.", "{G} {W} and {G} {W} are flags.", "{G} {W} is a setting.", "Press {G} {W} to go on.", "The {W} {W} and the {W} {W} differ.", "{W} {W} {n2} failed.", "See {G} {W}, then {W} {G}.", "It moved from {G} {W} to {G} {W}.", "Both {G} {W} and {W} {W} fail.", "{G} {W} of {n2}, {G} {W} of {n2}.", "the {G} {W}.",
+    "They are named {G} {W} and {G} {W}.", "Choose {G} {W} or {G} {W}.", "Three modes: {W} {W}, {G} {W} and {G} {W}.", "a {G} {W} of {n2}, {W} {W} and {G} {W}.", "{G} {W}, {G} {W}.", "{G} {W} and {G} {W}.", "no {G} {W} and no {G} {W}.", "between {G} {W} and {G} {W}.",
 ]
 
 
@@ -121,13 +120,13 @@ class Maker:
         return f"{r.choice(_ES)} {r.randint(1, 250)}{sep}{zip_} {r.choice(_TOWNS_ES)}"
 
     FRAMES = [
-        "The change was requested by {N}, reply to {E} please.", "Parcel label reads \"{N}, {A}\".", "Kontakt für Rückfragen: {N}, Tel. {P}.", "Invoice address: {A}.", "Ship the spare board to {A} before Friday.", "Send it to {A} by Monday.",
-        "the id {I} came through as plain text, so did {P}.", "Rückruf unter {P} erbeten, Steuernummer {I}.", "payload was {{\"assignee\": \"{N}\", \"mobile\": \"{P}\"}} before masking", "social security no {I} appears in the seed row of {N}.", "If it breaks again call {P} and ask for the night shift.",
-        "log line: user \"{E}\" failed the check, fallback \"{E}\" passed", "Escribir a {E} o llamar al {P}.", "Signed off by Dr. {N}.", "A stray mailto:{E} link sits in the footer.", "{N} said on the phone ({P}) that the export may go out.", "We met {N} and {N} at {A} to agree on the rollout.",
-        "Wohnhaft {A}, Ausweisnummer {I}.", "Escalate to {N} ({P}) when the job stalls.", "curl -d 'to={E}&ssn={I}' was left in the script", "Witness list: {N}; {N}; {N}.", "Joindre {N} au {P} ou par courriel <{E}>.", "Avisar a {N}; documento {I}.", "Reviewed-by: {N} <{E}>",
-        "{N} owns the rollout; nobody else should touch it.", "cc {N}; tel:{P}", "Old signature block:\n{N}\n{A}\n{P}\n", "Reporter left {E} as contact in the ticket.", "He typed {I} into the passport field twice.", "Pasted form data: name={N}; id={I}; mail={E}", "Adresse saisie dans le test : {A}.", "// TODO({E}): drop this branch",
-        "Ask {N} for the key.", "Author: {N}", "Passport {I} expired.", "from {N}: the run failed", "{N} and {N} paired on it.", "Call {N}, {P}.", "Anschrift: {A}", "Domicilio: {A}.", "tel {P}", "assigned to {N}", "({N})", "Mr. {N} lives at {A}.", "tax id {I}, phone {P}", "Thanks to {N} for the trace.", "Frau {N} wohnt in der {A}.", "Dirección: {A}; teléfono {P}.",
-        "mail {E}", "contact: {N} / {E} / {P}",
+        "Please forward this to {N} at {E}.", "Delivery for \"{N}, {A}\" was late.", "Ansprechpartnerin ist {N}, erreichbar unter {P}.", "Lieferanschrift: {A}.", "They moved to {A} in spring.", "Pick the parcel up at {A} by noon.",
+        "Her number {I} leaked into the dump along with {P}.", "Telefon {P}, Ausweis {I}.", "{{\"owner\": \"{N}\", \"cell\": \"{P}\"}}", "Record {I} belongs to {N}.", "On weekends dial {P} first.", "login \"{E}\" was refused, then \"{E}\" was tried",
+        "Contactar con {E}, teléfono {P}.", "Approved by Prof. {N}.", "Unsubscribe via mailto:{E} today.", "{N} confirmed by phone ({P}) on Monday.", "Lunch with {N} and {N} near {A} went well.", "Adresse: {A}, Personalnummer {I}.", "Page {N} ({P}) when alerts fire.",
+        "POST user={E}&nid={I} came from the old client", "Attendees: {N}; {N}; {N}.", "Appeler {N} au {P} ou écrire <{E}>.", "Pregunte por {N}; pasaporte {I}.", "Maintainer: {N} <{E}>", "{N} takes over next week; ask there.", "bcc {N}; fon:{P}", "Regards,\n{N}\n{A}\n{P}\n",
+        "Someone gave {E} as an address.", "The form had {I} in it twice.", "fullname={N}; nid={I}; email={E}", "Adresse de livraison : {A}.", "# FIXME({E}): clean up", "Ask {N} for the key.", "Author: {N}\n", "{V} {N} au {P}.", "{V} {N}; {I}.", "{V} {N} ({P}) soon.", "{V} {N}.", "{V} {N}, <{E}>.", "{V} {N} au {P} ou par lettre.", "Notify {N} now.", "Contacter {N} demain.", "Informar a {N} hoy.", "Tell {N} about it.", "Prévenir {N} avant lundi.", "Remind {N}, then {N}.", "Bitte {N} fragen.", "Llame a {N} y a {N}.", "Ping {N} ({P}).", "Consulter {N} au {P}.", "Preguntar a {N}; tel. {P}.", "Passport {I} expired.", "from {N}: the run failed", "{N} and {N} paired on it.",
+        "Call {N}, {P}.", "Anschrift: {A}.", "Ships from {A} after lunch.", "Bring it to {A} tonight.", "Wohnt {A}, seit Mai.", "Lives at {A}; rings twice.", "Domicilio: {A}.", "tel {P}.", "assigned to {N}.", "({N})", "Mr. {N} lives at {A}.", "tax id {I}, phone {P}", "Thanks to {N} for the trace.", "Frau {N} wohnt in der {A}.", "Dirección: {A}; teléfono {P}.", "mail {E}.", "contact: {N} / {E} / {P}.",
+        "{N}, {A}.", "{A} to {A}, by van", "Meet {N} at {A} to sign.", "{N} wrote it.", "reported by {N}.", "{P}.", "{N}.", "id: {I}", "{E}, {E}; {E}", "Send {A} a copy before the end of May.", "Numéro {I}, courriel {E}.",
     ]
 
     def fill(self, frame: str, at: int, labels: list[tuple[int, int, str]]) -> str:
@@ -136,6 +135,8 @@ class Maker:
         while i < len(frame):
             if frame[i : i + 2] in ("{{", "}}"):
                 out, i = out + frame[i], i + 2
+            elif frame[i : i + 3] == "{V}":
+                out, i = out + self.r.choice(_VERBS), i + 3
             elif frame[i] == "{" and frame[i + 1] in makers:
                 kind, make = makers[frame[i + 1]]
                 s = make()
