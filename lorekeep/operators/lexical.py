@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import STOP_WORDS, tokens
-from lorekeep.scratch import Scratch
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -59,7 +58,6 @@ def phrase_hits(corpus: DataFrame, phrases: DataFrame, columns: dict[str, float]
 
 def bm25(corpus: DataFrame, hits: DataFrame, bag: bool = False) -> DataFrame:
     """(query, doc, score): higher is better. ``bag``: only documents with every phrase of the query."""
-    hits = Scratch(hits.sparkSession, "bm25").save(hits)  # used twice; found once
     n = corpus.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg("size").alias("avg_size"))
     df = hits.groupBy("phrase").agg(F.countDistinct("doc").cast("double").alias("n_hit"))
     s = hits.join(df, "phrase").crossJoin(F.broadcast(n))  # one row of statistics
