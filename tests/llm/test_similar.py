@@ -118,6 +118,20 @@ def test_near_duplicates_match_brute_force(spark, seed):
     assert not got - want and len(got) >= 0.985 * len(want)
 
 
+def test_pasted_and_moved_passages_are_found(spark):
+    texts, want = [], set()
+    for i in range(60):
+        t = [f"p{i}x{j}" for j in range(62)]  # 60 k-mers
+        # twice pasted, then five and eight times; halves changed over; a few against many k-mers at the threshold
+        for k, w in enumerate([t, t * 2, t * 5, t * 8, t[31:] + t[:31]]):
+            texts.append((10 * i + k, " ".join(w)))
+        texts += [(10 * i + 5, " ".join(f"s{i}x{j}" for j in range(5))), (10 * i + 6, " ".join(f"s{i}x{j}" for j in range(7)))]
+        want |= {(10 * i + a, 10 * i + b) for a in range(5) for b in range(a + 1, 5)} | {(10 * i + 5, 10 * i + 6)}
+    assert want == set(brute(texts))
+    got = set(rows(near(spark, texts).record_pairs()))
+    assert not got - want and len(got) >= 0.995 * len(want)
+
+
 def test_edges(spark):
     long = " ".join(f"t{i}" for i in range(30_000))
     texts = [(1, None), (2, ""), (3, "one two"), (4, "one two"), (5, "one two three"), (6, "One, two: three!"), (7, long), (8, long + " end"), (None, "one two three"), (9, "—"), (10, "a b c d e f g"), (11, "a b c d e f g")]
