@@ -16,6 +16,12 @@ def token_pack(df: DataFrame, by: list[str], block: Column, order: list[Column],
     return out.filter(F.col("tokens_after") <= budget) if budget else out
 
 
+def newest_ranked(df: DataFrame, by: list[str]) -> DataFrame:
+    """Adds rank (from 1), newest first, by distributed counts."""
+    day = -F.datediff(F.col("created_at"), F.lit("1970-01-01").cast("date"))
+    return block_prefix_sum(df, by, day, [F.desc("created_at"), F.desc("id")], F.lit(1), "rank").withColumn("rank", (F.col("rank") + 1).cast("long"))
+
+
 def type_round_robin(df: DataFrame, by: list[str], kind: str, order: list[Column], cap: int) -> DataFrame:
     """At most ``cap`` rows of a kind, taken in turns: adds turn (from 1)."""
     w = Window.partitionBy(*by, kind).orderBy(*order)
@@ -30,16 +36,16 @@ def evidence_window(seeds: DataFrame, rows: DataFrame, key: str, group: str, wid
     return j.select("query", key, F.col("at.seed_rank").alias("seed_rank"), (~F.col("at.other")).alias("is_seed"))
 
 
-def slot_pack(df: DataFrame, by: list[str], budget: int, most: int = 200) -> DataFrame:
+def slot_pack(df: DataFrame, by: list[str], budget: int) -> DataFrame:
     """Rows of each group packed into three slots (35, 35 and 30 % of the budget), spare room passing on.
 
     ``df``: the ``by`` columns, key, slot (0 decisions, 1 anchored, 2 rest), rank and
-    size. Only the ``most`` best ranks of a group are considered, so a task never
-    holds more of a group; in a slot the longest prefix that fits is taken, and an
-    empty slot may take its first row if it fits what is left in all.
+    size. In a slot the longest prefix that fits is taken, and an empty slot may take
+    its first row if it fits what is left in all. No slot takes more than the whole
+    budget, so each is cut there by a distributed prefix sum before a task sees it.
     """
     d, a = int(budget * 0.35), int(budget * 0.35)
-    rows = df.filter(F.col("rank") <= most)
+    rows = token_pack(df, [*by, "slot"], F.floor(F.col("rank") / 1000), [F.col("rank"), F.col("key")], F.col("size"), budget)
     cols = [*by, "key", "slot", "rank", "size"]
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
@@ -74,12 +80,16 @@ def turn_windows(df: DataFrame, by: list[str], order: list[Column], size: int =
     return d.filter(first <= upto).withColumn("window", F.explode(F.sequence(first, upto))).drop("__n")
 
 
-def skip_pack(df: DataFrame, by: list[str], budget: int, most: int = 200) -> DataFrame:
-    """Rows of each group in rank order, each taken if it still fits; only the ``most`` best ranks of a group are considered.
+def skip_pack(df: DataFrame, by: list[str], budget: int) -> DataFrame:
+    """Rows of each group in rank order, each taken if it still fits.
 
-    ``df``: the ``by`` columns, key, rank and size.
+    ``df``: the ``by`` columns, key, rank and size. The room only shrinks, so the rows
+    taken of one size are the first of that size, and sum to the budget at most: what
+    goes beyond is cut before a task sees it.
     """
-    rows = df.filter(F.col("rank") <= most).select(*by, "key", "rank", "size")
+    rows = df.select(*by, "key", "rank", "size")
+    cut = token_pack(rows.filter("size > 0"), [*by, "size"], F.floor(F.col("rank") / 1000), [F.col("rank"), F.col("key")], F.col("size"), budget)
+    rows = cut.select(rows.columns).unionByName(rows.filter("size <= 0"))
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
         left, keep = budget, []

@@ -412,8 +412,8 @@ def skip_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Each project's newest observations, taken greedily into 1 000 tokens."""
     from lorekeep.operators import context as cx
 
-    w = Window.partitionBy("project").orderBy(F.desc("created_at"), F.desc("id"))
-    o = observations(spark, folder, live_only=True).select("project", F.col("id").alias("key"), F.row_number().over(w).cast("long").alias("rank"), tx.token_estimate(F.col("type"), F.col("title"), F.col("content")).alias("size"))
+    o = observations(spark, folder, live_only=True).select("project", "id", "created_at", tx.token_estimate(F.col("type"), F.col("title"), F.col("content")).alias("size"))
+    o = cx.newest_ranked(o, ["project"]).select("project", F.col("id").alias("key"), "rank", "size")
     return cx.skip_pack(o, ["project"], 1000).withColumnRenamed("key", "id")
 
 

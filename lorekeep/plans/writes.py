@@ -156,10 +156,9 @@ def evidence_window(spark: SparkSession, folder: str) -> DataFrame:
 @R.add("slot_pack")
 def slot_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Each project's newest observations in slots of a 2 000 token budget."""
-    o = observations(spark, folder, live_only=True)
-    w = Window.partitionBy("project").orderBy(F.desc("created_at"), F.desc("id"))
     slot = F.when(F.col("type").isin("decision", "policy"), 0).when(F.col("topic_key").isNotNull(), 1).otherwise(2)
-    rows = o.select("project", F.col("id").alias("key"), slot.alias("slot"), F.row_number().over(w).cast("long").alias("rank"), tx.token_estimate(F.col("type"), F.col("title"), F.col("content")).alias("size"))
+    o = observations(spark, folder, live_only=True).select("project", "id", "created_at", slot.alias("slot"), tx.token_estimate(F.col("type"), F.col("title"), F.col("content")).alias("size"))
+    rows = cx.newest_ranked(o, ["project"]).select("project", F.col("id").alias("key"), "slot", "rank", "size")
     return cx.slot_pack(rows, ["project"], 2000).withColumnRenamed("key", "id")
 
 

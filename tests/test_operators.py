@@ -139,6 +139,22 @@ def test_context(spark):
     assert sum(s for _, s in kept) <= 100 and {k for k, _ in kept} == {0, 1, 2}
 
 
+def test_packs_see_past_the_newest_rows(spark):
+    """Old decisions, anchored rows and small rows behind 3 000 newer ones that leave them room."""
+    late = [("q", i, 2, i, 2000) for i in range(1, 3001)] + [("q", 3001, 0, 3001, 30), ("q", 3002, 1, 3002, 40), ("q", 3003, 2, 3003, 5), ("q", 3004, 0, 3004, 5)]
+    df = spark.createDataFrame(late, "q string, key long, slot int, rank long, size long")
+    assert rows(cx.slot_pack(df, ["q"], 100), "key") == [(3001,), (3002,), (3004,)]
+    assert rows(cx.skip_pack(df, ["q"], 100), "key") == [(3001,), (3002,), (3003,), (3004,)]
+    mixed = [("q", i, i * 7919 % 3, i, 1 + i * 104729 % 60) for i in range(1, 2001)]
+    left, want = 90, []
+    for _, k, _, _, size in mixed:
+        if size <= left:
+            want.append((k,))
+            left -= size
+    df = spark.createDataFrame(mixed, "q string, key long, slot int, rank long, size long")
+    assert rows(cx.skip_pack(df, ["q"], 90), "key") == want
+
+
 def test_evaluation(spark):
     h = spark.createDataFrame([(1, "a", 1, False), (1, "a", 2, True), (2, "a", 1, False)], "query long, c string, rank long, relevant boolean")
     assert rows(ev.retrieval_report(h, ["c"])) == [("a", 2, 0.5, 0.25)]
