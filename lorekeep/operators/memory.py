@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions.text import dice, tokens
 from lorekeep.scratch import Scratch
 
 
@@ -92,3 +93,28 @@ def save_outcomes(df: DataFrame, most_chars: int = 50_000, days: int = 30) -> Da
     out = out.unionByName(good.filter("again").select("id", F.lit("repeated").alias("outcome")))
     out = out.unionByName(fresh.filter("updates").select("id", F.lit("topic_update").alias("outcome")))
     return out.unionByName(new.select("id", F.when(F.col("duplicate"), "duplicate").otherwise("inserted").alias("outcome")))
+
+
+def title_supersedes(df: DataFrame, least: float = 0.55, few: int = 200_000) -> DataFrame:
+    """(keep_id, drop_id): rows of equal type and scope of which one's title stands as a phrase in the other's title or content, and whose titles overlap by Dice at least ``least``; the newer is kept.
+
+    Notes and titles under 8 characters ask for nothing; equal hashes are duplicates
+    and no case. A title's first three words meet the word runs of all rows by
+    equality, then the whole phrase is compared.
+    """
+    o = df.select("id", "type", "scope", "created_at", F.nullif("normalized_hash", F.lit("")).alias("hash"), F.trim("title").alias("title"), tokens(F.col("title")).alias("t"), tokens(F.col("content")).alias("c"))
+    start = lambda words: F.xxhash64("type", "scope", F.array_join(words, " "))
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    asked = o.filter("type <> 'note' AND scope IS NOT NULL AND length(title) >= 8 AND size(t) > 0").select(F.col("id").alias("a"), start(F.slice("t", 1, 3)).alias("start"))
+    runs = lambda c, n: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: start(F.slice(c, i, n))))
+    every = F.concat(*[F.coalesce(runs(c, n), F.array().cast("array<bigint>")) for c in ("t", "c") for n in (1, 2, 3)])
+    known = asked.select("start").distinct()
+    # only runs that some title asks for are shuffled
+    at = o.select(F.col("id").alias("b"), F.explode(F.array_distinct(every)).alias("start")).join(F.broadcast(known) if known.count() <= few else known, "start", "left_semi")
+    pairs = asked.join(at, "start").filter("a <> b").select("a", "b")
+    x = o.select(F.col("id").alias("a"), F.struct("type", "scope", "created_at", "id", "hash", "t").alias("x"))
+    y = o.select(F.col("id").alias("b"), F.struct("type", "scope", "created_at", "id", "hash", "t").alias("y"), padded("t").alias("title"), padded("c").alias("content"))
+    j = pairs.join(x, "a").filter(F.size("x.t") > 0).join(y, "b").filter("x.type = y.type AND x.scope = y.scope AND NOT coalesce(x.hash = y.hash, false)")
+    j = j.filter(F.contains("title", padded("x.t")) | F.contains("content", padded("x.t"))).filter(dice(F.col("x.t"), F.col("y.t")) >= least)
+    newer = F.struct("x.created_at", "x.id") > F.struct("y.created_at", "y.id")
+    return j.select(F.when(newer, F.col("a")).otherwise(F.col("b")).alias("keep_id"), F.when(newer, F.col("b")).otherwise(F.col("a")).alias("drop_id")).distinct()

@@ -117,6 +117,20 @@ def dream_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return o.join(k, "normalized_hash").filter("id <> keep_id").select("keep_id", F.col("id").alias("drop_id"))
 
 
+_TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
+
+
+@R.add("dream_supersedes", O + f"""
+, t AS (SELECT id, type, scope, created_at, nullif(normalized_hash, '') AS h, length(trim(title)) AS n, {_TOKENS.format("title")} AS t, ' ' || array_to_string({_TOKENS.format("title")}, ' ') || ' ' AS ti, ' ' || array_to_string({_TOKENS.format("content")}, ' ') || ' ' AS co FROM o WHERE deleted_at IS NULL),
+j AS (SELECT a.id AS a, b.id AS b, (a.created_at, a.id) > (b.created_at, b.id) AS newer FROM t a JOIN t b ON b.type = a.type AND b.scope = a.scope AND b.id <> a.id WHERE a.type <> 'note' AND a.n >= 8 AND len(a.t) > 0 AND (contains(b.ti, a.ti) OR contains(b.co, a.ti)) AND NOT coalesce(a.h = b.h, false)
+ AND 2.0 * len(list_intersect(list_distinct(a.t), list_distinct(b.t))) / (len(list_distinct(a.t)) + len(list_distinct(b.t))) >= 0.55)
+SELECT DISTINCT CASE WHEN newer THEN a ELSE b END AS keep_id, CASE WHEN newer THEN b ELSE a END AS drop_id, 'supersede' AS kind, 0.6::DOUBLE AS confidence FROM j
+""")
+def dream_supersedes(spark: SparkSession, folder: str) -> DataFrame:
+    """The title half of the consolidation scan: live observations whose titles overlap; ``dream_duplicates`` is the other half."""
+    return mem.title_supersedes(observations(spark, folder, live_only=True)).select("keep_id", "drop_id", F.lit("supersede").alias("kind"), F.lit(0.6).alias("confidence"))
+
+
 # context -----------------------------------------------------------------------
 _SIZE = "ceil(length(coalesce(type,'') || chr(10) || coalesce(title,'') || chr(10) || coalesce(content,'')) / 4)::BIGINT"
 

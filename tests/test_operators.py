@@ -139,6 +139,18 @@ def test_context(spark):
     assert sum(s for _, s in kept) <= 100 and {k for k, _ in kept} == {0, 1, 2}
 
 
+def test_overlapping_titles_supersede(spark):
+    data = [
+        (1, "decision", "team", 1, "h1", "Queue stale palette", "x"), (2, "decision", "team", 2, "h2", "Now queue stale palette again", "x"),  # phrase in the title
+        (3, "decision", "team", 3, "h3", "Palette stale queue", "we queue stale palette, yes"),  # in the content
+        (4, "decision", "project", 4, "h4", "Queue stale palette", "x"), (5, "policy", "team", 5, "h5", "Queue stale palette", "x"), (6, "decision", "team", 6, "h1", "Queue stale palette", "x"),
+        (7, "decision", "team", 7, "h7", "Queue stale palette in one two three four five six", "x"),  # too long
+        (8, "note", "n", 8, "h8", "Queue stale palette", "x"), (9, "note", "n", 9, "h9", "Queue stale palette", "x"), (10, "decision", "s", 10, None, "Go on", "x"), (11, "decision", "s", 11, None, "Go on", "x"),
+    ]
+    df = spark.createDataFrame(data, "id long, type string, scope string, created_at long, normalized_hash string, title string, content string")
+    assert rows(memory.title_supersedes(df)) == [(2, 1), (3, 1), (6, 2), (6, 3)]
+
+
 def test_packs_see_past_the_newest_rows(spark):
     """Old decisions, anchored rows and small rows behind 3 000 newer ones that leave them room."""
     late = [("q", i, 2, i, 2000) for i in range(1, 3001)] + [("q", 3001, 0, 3001, 30), ("q", 3002, 1, 3002, 40), ("q", 3003, 2, 3003, 5), ("q", 3004, 0, 3004, 5)]
