@@ -8,10 +8,27 @@ manifest is committed by one rename. Readers see the old or the new version whol
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that a bucket should hold; at four times as many the table is hashed into more buckets.
+BUCKET_ROWS = 500_000
+
+
+@contextmanager
+def shuffled_into(spark: SparkSession, n: int) -> Iterator[None]:
+    """Plans made inside shuffle into ``n`` partitions."""
+    name = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
 
 class BucketTable:
     """``key`` -> its newest change, with tombstones, under ``path``.
@@ -19,11 +36,16 @@ class BucketTable:
     ``order`` names the columns that decide which of two changes of a key is the
     newer (the first decides, later ones break ties; null is oldest). The columns
     must make changes that differ in content comparable; whole ties keep either
-    copy. ``buckets`` is fixed when the table is created and bounds what a commit
-    collects to the driver: at most that many bucket numbers.
+    copy.
+
+    A bucket is a partition of Spark's own hash of the key, so what comes out of the
+    shuffle by key is already routed: each side of a merge moves once, and a bucket
+    is written by one task. Without ``buckets`` their number follows the number of
+    keys, and the table is hashed anew when it has outgrown them. It bounds what a
+    commit collects to the driver: at most that many bucket numbers.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, order: list[str], buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, key: str, order: list[str], buckets: int | None = None):
         self.spark, self.path, self.key, self.order, self.buckets = spark, path.rstrip("/"), key, order, buckets
         self._fs = spark._jvm.org.apache.hadoop.fs
         self._conf = spark._jsc.hadoopConfiguration()
@@ -65,8 +87,8 @@ class BucketTable:
             raise RuntimeError(f"another writer committed {name} first; apply the changes again")
 
     # reads ---------------------------------------------------------------------
-    def _bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+    def _bucket(self, n: int) -> Column:
+        return F.pmod(F.hash(self.key), F.lit(n))  # the partition of a shuffle by key
 
     def _read(self, manifest: dict, only: set[int] | None = None) -> DataFrame | None:
         from pyspark.sql.types import StructType
@@ -88,36 +110,52 @@ class BucketTable:
         ordering = F.struct(*[F.col(c) for c in self.order], F.xxhash64(*rest).alias("__tie"))
         return changes.groupBy(self.key).agg(F.max_by(F.struct(*rest), ordering).alias("__r")).select(self.key, "__r.*")
 
+    def _wanted(self, keys: int) -> int:
+        n = 8
+        while n * BUCKET_ROWS < keys:
+            n *= 2
+        return n
+
+    def _write(self, rows: DataFrame, folder: str, n: int) -> dict[str, str]:
+        out = rows.withColumn("bucket", self._bucket(n))
+        with shuffled_into(self.spark, n):
+            out.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        return {str(b): f"{folder}/bucket={b}" for b in self._listed(f"{self.path}/{folder}")}
+
     def apply(self, changes: DataFrame) -> int:
         """Merge a batch, in any order and with repetitions; the new version number.
 
         Rows with a null key are left out. An empty batch commits nothing.
         """
         old = self.manifest()
-        batch = self.newest(changes.filter(F.col(self.key).isNotNull()))
-        version = old["version"] + 1
-        folder = f"data/v{version}"
-        staged = f"{self.path}/staged/v{version}"
-        routed = batch.withColumn("bucket", self._bucket(F.col(self.key)))
-        if old["files"]:
-            routed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(staged)
-            touched = set(self._listed(staged))
-            if not touched:
+        changes = changes.filter(F.col(self.key).isNotNull())
+        version, schema = old["version"] + 1, changes.schema.jsonValue()
+        folder, staged = f"data/v{version}", f"staged/v{version}"
+        n = old.get("buckets") or self.buckets or self._wanted(changes.count())
+        batch = self.newest(changes)
+        if not old["files"]:
+            files, keys = self._write(batch, folder, n), None
+            if not files:
                 return old["version"]
-            batch = self.spark.read.schema(routed.schema).parquet(staged).select(*changes.columns)
-            base = self._read(old, touched)
         else:
-            base = None
-        if base is not None:
-            batch = self._merge(base.select(*changes.columns), batch)
-        out = batch.withColumn("bucket", self._bucket(F.col(self.key)))
-        schema = batch.schema.jsonValue()
-        out.repartition("bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{folder}")
-        written = self._listed(f"{self.path}/{folder}")
-        if not written:
-            return old["version"]
-        files = old["files"] | {str(b): f"{folder}/bucket={b}" for b in written}
-        self._commit({"version": version, "files": files, "schema": schema})
+            # the batch is routed; only buckets that it reaches are read, merged and replaced
+            touched = self._write(batch, staged, n)
+            if not touched:
+                return old["version"]
+            keys = old["keys"] + self._read({"files": touched, "schema": schema}).count()
+            kept = {b: p for b, p in old["files"].items() if b not in touched}
+            if not self.buckets and keys > 4 * n * BUCKET_ROWS:
+                n, kept = self._wanted(keys), {}
+            base = self._read(old, None if not kept else {int(b) for b in touched})
+            batch = self._read({"files": touched, "schema": schema})
+            if base is not None:
+                batch = self._merge(base.select(*changes.columns), batch)
+            else:
+                batch = batch.repartition(n, self.key)
+            files = kept | self._write(batch, folder, n)
+        if keys is None or base is not None:
+            keys = self._read({"files": files, "schema": schema}).count()  # read from the files' footers
+        self._commit({"version": version, "files": files, "schema": schema, "buckets": n, "keys": keys})
         fs, p = self._p(f"{self.path}/staged")
         fs.delete(p, True)
         return version

@@ -1,22 +1,23 @@
 """Parent-child links to full hierarchies.
 
 Sizes of subtrees are gathered upward, preorder ranges are allotted downward by
-prefix sums over siblings, and the nested ranges answer ancestor and descendant
-questions. Both passes double the distance they cover each round, so a chain of
-length d takes about log2(d) rounds. Nodes that the upward pass never finishes
-lie on a circle or lead into one.
+prefix sums over siblings, and the nested ranges answer every question on ancestors
+and descendants: a node's root is the root range that holds its preorder number, its
+depth the number of ranges open there. Both passes double the distance they cover
+each round, so a chain of length d takes about log2(d) rounds. Nodes that the upward
+pass never finishes lie on a circle or lead into one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators.prefix import block_prefix_sum
 from lorekeep.scratch import Scratch
 
-#: Siblings whose ids agree above these low bits share a window.
-BLOCK_BITS = 14
+#: Siblings that a window may hold on average, and preorder numbers of a block of the range sweep.
+SIBLINGS, SWEEP_BITS = 50_000, 14
 
 
 def _links(df: DataFrame, node: str, parent: str) -> DataFrame:
@@ -78,39 +79,26 @@ def hierarchy(df: DataFrame, node: str, parent: str, with_path: bool = False) ->
 
     # downward: own offset among the siblings, then sums of offsets along the path
     tree = links.join(state.filter("anc IS NULL").select("node_id", F.col("cnt").alias("subtree_size")), "node_id")
-    block = F.shiftright("node_id", BLOCK_BITS)
+    blocks = state.filter("anc IS NULL").count() // SIBLINGS + 1
+    # any order of siblings will do; one by hash spreads a parent of any number of children evenly
+    block = F.pmod(F.xxhash64("node_id"), F.lit(blocks))
     placed = block_prefix_sum(tree, ["parent_id"], block, [F.col("node_id")], F.col("subtree_size"), "off")
-    down = placed.select(
-        "node_id", "parent_id", "subtree_size", F.col("parent_id").alias("anc"), F.col("node_id").alias("root_id"),
-        F.lit(0).cast("long").alias("depth"), F.when(F.col("parent_id").isNull(), F.col("off")).otherwise(F.col("off") + 1).alias("pre"),
-        F.array("node_id").alias("path"),
-    )
-    if not with_path:
-        down = down.drop("path")
-    down = s.save(down)
-    reach, open_ = 1, True
-    while open_:
-        far = [F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), F.col("root_id").alias("root2"), F.col("depth").alias("depth2"), F.col("pre").alias("pre2")]
-        far = down.select(*far, *([F.col("path").alias("path2")] if with_path else []))
-        j = down.join(far, "anc", "left")
-        end = F.col("anc2").isNull() & F.col("anc").isNotNull()
-        cols = ["node_id", "parent_id", "subtree_size", F.col("anc2").alias("anc"), F.coalesce("root2", "root_id").alias("root_id")]
-        # until the far node is known to have ended, its depth stands for the steps behind it
-        cols += [(F.col("depth") + F.when(F.col("anc").isNull(), 0).otherwise(F.lit(reach) + F.when(end, F.col("depth2")).otherwise(0))).alias("depth")]
-        cols += [(F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre")]
-        if with_path:
-            cols.append(F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path", "path2")).alias("path"))
-        j = j.select(*cols)
-        # an unfinished node keeps depth 0; the steps it has made are reach * 2
-        j = j.withColumn("depth", F.when(F.col("anc").isNotNull(), F.lit(0).cast("long")).otherwise(F.col("depth").cast("long")))
-        nxt = s.save(j)
+    offset = F.when(F.col("parent_id").isNull(), F.col("off")).otherwise(F.col("off") + 1)
+    own = [F.array("node_id").alias("path")] if with_path else []
+    placed = s.save(placed.select("node_id", "parent_id", "subtree_size", F.col("parent_id").alias("anc"), offset.alias("pre"), *own))
+    s.drop(state)
+    down = placed.select("node_id", "anc", "pre", *(["path"] if with_path else []))
+    while down.filter("anc IS NOT NULL").limit(1).count():
+        far = down.select(F.col("node_id").alias("anc"), F.col("anc").alias("anc2"), F.col("pre").alias("pre2"), *([F.col("path").alias("path2")] if with_path else []))
+        grown = [F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path", "path2")).alias("path")] if with_path else []
+        nxt = s.save(down.join(far, "anc", "left").select("node_id", F.col("anc2").alias("anc"), (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre"), *grown))
         s.drop(down)
-        down, reach = nxt, reach * 2
-        open_ = bool(down.filter("anc IS NOT NULL").limit(1).count())
-
-    good = down.select(
-        "node_id", "parent_id", "root_id", "depth", "subtree_size", "pre", (F.col("pre") + F.col("subtree_size") - 1).alias("last"),
-        F.lit(False).alias("is_cycle"), *(["path"] if with_path else []),
+        down = nxt
+    nodes = placed.select("node_id", "parent_id", "subtree_size").join(down.drop("anc"), "node_id")
+    nodes = s.save(nodes.withColumn("last", F.col("pre") + F.col("subtree_size") - 1))
+    s.drop(placed, down)
+    good = nodes.join(_sweep(nodes, blocks * SIBLINGS), "node_id").select(
+        "node_id", "parent_id", "root_id", "depth", "subtree_size", "pre", "last", F.lit(False).alias("is_cycle"), *(["path"] if with_path else []),
     )
     if active:
         bad = rings.join(links, "node_id").select(
@@ -121,6 +109,27 @@ def hierarchy(df: DataFrame, node: str, parent: str, with_path: bool = False) ->
     return good
 
 
+def _sweep(nodes: DataFrame, most: int) -> DataFrame:
+    """(node_id, root_id, depth) from the nested ranges alone.
+
+    A sweep over preorder numbers, which are dense: a range opens at ``pre`` and closes
+    behind ``last``. Depth is the number of ranges still open, the root is the last
+    root range that opened (root ranges do not overlap). The sweep runs block by block
+    of equal numbers of nodes; a row a block carries what the blocks before it left.
+    """
+    bits = max(SWEEP_BITS, most.bit_length() - SWEEP_BITS)  # so there are at most about 2^15 blocks
+    top = F.when(F.col("parent_id").isNull(), F.col("node_id"))
+    opens = nodes.select(F.col("pre").alias("pos"), F.lit(1).alias("step"), "node_id", top.alias("top"))
+    closes = nodes.select((F.col("last") + 1).alias("pos"), F.lit(-1).alias("step"), F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("long").alias("top"))
+    rows = opens.unionByName(closes).withColumn("blk", F.shiftright("pos", bits))
+    totals = rows.groupBy("blk").agg(F.sum("step").alias("open"), F.max_by("top", F.when(F.col("top").isNotNull(), F.col("pos"))).alias("top"))
+    before = Window.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)  # a row a block, see ``bits``
+    heads = totals.select("blk", F.coalesce(F.sum("open").over(before), F.lit(0)).alias("open0"), F.last("top", ignorenulls=True).over(before).alias("top0"))
+    w = Window.partitionBy("blk").orderBy("pos", "step").rowsBetween(Window.unboundedPreceding, 0)  # at equal places ranges close first
+    swept = rows.select("blk", "node_id", F.sum("step").over(w).alias("open1"), F.last("top", ignorenulls=True).over(w).alias("top1")).filter("node_id IS NOT NULL")
+    return swept.join(F.broadcast(heads), "blk").select("node_id", F.coalesce("top1", "top0").alias("root_id"), (F.col("open0") + F.col("open1") - 1).alias("depth"))
+
+
 def descendants(tree: DataFrame, chunk: int = 1024) -> DataFrame:
     """(ancestor_id, descendant_id, distance) from the nested ranges of ``hierarchy``.
 

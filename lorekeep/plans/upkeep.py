@@ -45,17 +45,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return tree.select("node_id", "root_id", "depth")
 
 
-@R.add("p1_lineage", _LINEAGE + """
+@R.add("p1_lineage", _LINEAGE + _RINGS + """
 , up AS (
   SELECT id AS node, id AS anc FROM link WHERE id IN (SELECT id FROM down)
   UNION ALL SELECT u.node, l.parent FROM up u JOIN link l ON l.id = u.anc WHERE l.parent IS NOT NULL)
-SELECT d.id AS node_id, d.root AS root_id, d.depth, d.path, (SELECT count(*) - 1 FROM up WHERE anc = d.id) AS older
-FROM down d
+SELECT d.id AS node_id, d.root AS root_id, d.depth, d.path, (SELECT count(*) - 1 FROM up WHERE anc = d.id) AS older, false AS circular FROM down d
+UNION ALL SELECT id, root, -1, '', -1, true FROM bad
 """)
 def p1_lineage(spark: SparkSession, folder: str) -> DataFrame:
-    """Each lineage observation with its path to the newest one and the number of older ones below it."""
+    """Each lineage observation with its path to the newest one and the number of older ones below it; on a circle no path and -1."""
     tree = hierarchy(table(spark, folder, "observations"), "id", "superseded_by_id", with_path=True)
-    return tree.filter("NOT is_cycle").select("node_id", "root_id", "depth", F.array_join("path", ">").alias("path"), (F.col("subtree_size") - 1).alias("older"))
+    path, older = F.coalesce(F.array_join("path", ">"), F.lit("")), F.coalesce(F.col("subtree_size") - 1, F.lit(-1))
+    return tree.select("node_id", "root_id", "depth", path.alias("path"), older.alias("older"), F.col("is_cycle").alias("circular"))
 
 
 @R.add("p1_descendants", _LINEAGE + """
@@ -78,15 +79,25 @@ def observation_feed(changes: DataFrame) -> DataFrame:
     )
 
 
-def current_state(spark: SparkSession, changes: DataFrame, batches: int = 1) -> DataFrame:
-    """The records that exist after all changes, applied in ``batches`` commits by arrival."""
+#: Commits in which a feed is applied by arrival.
+COMMITS = 4
+
+
+def current_state(spark: SparkSession, changes: DataFrame, batches: int = COMMITS, interleaved: bool = False) -> DataFrame:
+    """The records that exist after all changes, applied in ``batches`` commits by arrival.
+
+    The first commit fills the buckets, the later ones are routed to them and merged.
+    Commits are equal stretches of feed positions, which a scan prunes, or, if
+    ``interleaved``, every n-th stretch of 128 positions.
+    """
     s = Scratch(spark, "changes")
     t = BucketTable(spark, f"{s.root}/observations", "sync_id", ["updated_at", "revision_count", "change_id"])
-    if batches == 1:
-        t.apply(observation_feed(changes))
-    else:
+    lo, hi = changes.agg(F.min("feed_pos"), F.max("feed_pos")).first()
+    if lo is not None:
+        step = (hi - lo) // batches + 1
         for k in range(batches):
-            t.apply(observation_feed(changes.filter(F.pmod(F.shiftright("feed_pos", 7), F.lit(batches)) == k)))
+            stretch = F.pmod(F.shiftright("feed_pos", 7), F.lit(batches)) == k if interleaved else F.col("feed_pos").between(lo + k * step, lo + (k + 1) * step - 1)
+            t.apply(observation_feed(changes.filter(stretch)))
     rows = t.history()
     if rows is None:
         return observation_feed(changes).limit(0).drop("gone")
@@ -111,8 +122,8 @@ SELECT sync_id, change_id, op, project, revision_count, title, content, epoch_us
 FROM w WHERE rn = 1 AND op <> 'delete' AND deleted_at IS NULL
 """)
 def p4_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole current rows after four interleaved commits, each rewriting the buckets it touches."""
-    rows = current_state(spark, table(spark, folder, "observation_changes"), batches=4)
+    """The whole current rows after interleaved commits, each rewriting the buckets it touches."""
+    rows = current_state(spark, table(spark, folder, "observation_changes"), interleaved=True)
     return rows.select("sync_id", "change_id", "op", "project", "revision_count", "title", "content", F.unix_micros("updated_at").alias("updated_us"))
 
 

@@ -37,14 +37,36 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Folders of this process that are still there, with the configuration that reaches them.
+_open: dict[str, tuple] = {}
+
+
+def clean() -> int:
+    """Delete all intermediate tables of this process; results that were not written or collected before are lost.
+
+    Runs at the end of the process. A long-lived driver calls it between jobs, once their results are written.
+    """
+    n = 0
+    for root, (jvm, conf) in list(_open.items()):
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(root)
+            n += bool(p.getFileSystem(conf).delete(p, True))
+        except Exception:  # noqa: BLE001  the gateway may be gone already
+            pass
+        _open.pop(root, None)
+    return n
+
+
 class Scratch:
-    """Named tables of one operator run, in a folder of their own."""
+    """Named tables of one operator run, in a folder of their own, which ``clean`` removes."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        if not _open:
+            atexit.register(clean)
+        _open[self.root] = (spark._jvm, spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the written table."""
@@ -52,7 +74,6 @@ class Scratch:
         path = f"{self.root}/t{self._n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._lorekeep_path = path
         return out
 
@@ -65,3 +86,4 @@ class Scratch:
 
     def drop_all(self) -> None:
         delete(self.spark, self.root)
+        _open.pop(self.root, None)

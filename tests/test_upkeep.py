@@ -60,6 +60,21 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     assert t.apply(df.withColumn("sync_id", F.lit(None).cast("string"))) == 2
 
 
+def test_buckets_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from lorekeep.operators import cdc
+
+    monkeypatch.setattr(cdc, "BUCKET_ROWS", 10)
+    t = BucketTable(spark, f"file://{tmp_path}/t", "sync_id", ["at"])
+    df = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("sync_id"), F.col("id").alias("at"))
+    t.apply(df.filter("at < 80"))
+    assert t.manifest()["buckets"] == 8 and t.manifest()["keys"] == 80
+    t.apply(df.filter("at >= 80"))
+    assert t.manifest()["buckets"] == 256 and t.manifest()["keys"] == 2000
+    assert t.apply(df.filter("sync_id = 'k5'").withColumn("at", F.lit(5000).cast("long"))) == 3
+    assert len(set(t.manifest()["files"].values()) & set(t.manifest(2)["files"].values())) == len(t.manifest(2)["files"]) - 1
+    assert rows(t.history(), "sync_id", "at") == sorted((f"k{i}", 5000 if i == 5 else i) for i in range(2000))
+
+
 def test_lost_race_is_refused(spark, tmp_path):
     t = BucketTable(spark, f"file://{tmp_path}/t", "sync_id", ["at"], buckets=4)
     t.apply(spark.createDataFrame([("a", 1)], "sync_id string, at long"))
@@ -82,8 +97,8 @@ def test_current_state_rules(spark):
         (3, "b", "delete", "2025-01-02T00:00:00Z", None, 1), (4, "b", "insert", "2025-01-01T00:00:00Z", None, 9), (5, "c", "delete", "2025-01-01T00:00:00Z", None, 1), (6, "c", "update", "2025-01-03T00:00:00Z", None, 1),
         (7, "d", "update", "2025-01-03T00:00:00Z", "2025-01-03T00:00:00Z", 1), (8, None, "insert", "2025-01-03T00:00:00Z", None, 1), (9, "e", "insert", None, None, None),
     ])
-    for n in (1, 2):
-        assert rows(current_state(spark, f, n), "sync_id", "change_id") == [("a", 2), ("c", 6), ("e", 9)]
+    for n, mixed in ((1, False), (2, True), (3, False), (4, False)):
+        assert rows(current_state(spark, f, n, mixed), "sync_id", "change_id") == [("a", 2), ("c", 6), ("e", 9)]
     assert current_state(spark, f.limit(0)).count() == 0
 
 
