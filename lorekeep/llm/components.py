@@ -3,20 +3,21 @@
 The giant component is peeled by a frontier breadth-first search from the vertex of
 highest degree and joined away; what remains is labelled by minimum propagation in
 alternating large-star and small-star steps, which take a logarithmic number of
-rounds on chains of any length. Every step reads a written table, so adaptive
+rounds on chains of any length: a search that ends before its component does leaves
+that to them. Every step reads a written table, so adaptive
 execution knows its sizes and splits the partitions of hot vertices; minima are
 gathered map-side before they move.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.scratch import Scratch
 
-#: Breadth-first rounds before the visited part is contracted and left to propagation.
-PEEL_ROUNDS = 12
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -29,25 +30,29 @@ def _edges(pairs: DataFrame) -> DataFrame:
 
 
 def _peel(s: Scratch, edges: DataFrame) -> DataFrame:
-    """The vertices that the search from the hub reaches within its rounds, the hub among them."""
+    """The vertices that the search from the hub reaches, the hub among them.
+
+    The search ends with its frontier, or after about log2 of the edges rounds: a giant
+    component is that wide, and what is wider is a chain, which contraction shortens
+    in fewer rounds. An edge joins vertices of the same or neighbouring distance, so
+    the two newest frontiers are all that a new one can meet again.
+    """
     sym = s.save(_both(edges))
-    hub = sym.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("u", F.struct(F.col("n"), -F.col("u")))).first()[0]
+    n, hub = sym.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max_by("u", F.struct(F.col("n"), -F.col("u")))).first()
     # the hub's own edges are a filter, so its degree puts no load on one task
-    frontier = s.save(sym.filter(F.col("u") == hub).select("v").distinct())
-    visited = s.save(frontier.unionByName(edges.filter(F.col("a") == hub).select(F.col("a").alias("v")).unionByName(edges.filter(F.col("b") == hub).select(F.col("b").alias("v"))).limit(1)))
+    older = s.save(edges.filter((F.col("a") == hub) | (F.col("b") == hub)).limit(1).select(F.lit(hub).cast("long").alias("v")))
+    newest = s.save(sym.filter(F.col("u") == hub).select("v").distinct())
+    reached = [older, newest]
     around = sym.filter(F.col("v") != hub)
-    for _ in range(PEEL_ROUNDS):
-        reach = around.join(frontier.select(F.col("v").alias("u")), "u", "left_semi").select("v").distinct()
-        nxt = s.save(reach.join(visited, "v", "left_anti"))
-        s.drop(frontier)
-        frontier = nxt
-        if not frontier.limit(1).count():
+    for _ in range(int(n).bit_length() + 1):
+        reach = around.join(newest.select(F.col("v").alias("u")), "u", "left_semi").select("v").distinct()
+        nxt = s.save(reach.join(newest.unionByName(older), "v", "left_anti"))
+        if nxt.isEmpty():
             break
-        grown = s.save(visited.unionByName(frontier))
-        s.drop(visited)
-        visited = grown
+        older, newest = newest, nxt
+        reached.append(nxt)
     s.drop(sym)
-    return visited
+    return reduce(DataFrame.unionByName, reached)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

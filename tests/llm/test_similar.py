@@ -166,3 +166,37 @@ def test_sketches_keep_order():
     v, who = neardup.sketch(h, o, 3, 3, 8, 0)
     s = [set(v[who == i].tolist()) for i in range(3)]
     assert s[0] == s[2] and not s[0] & s[1]
+    # halves changed over: ordered sketches that span them differ, plain ones do not but for the seam
+    w = [np.arange(50, dtype=np.int64), np.r_[np.arange(25, 50), np.arange(25)]]
+    h, o = neardup.kmers(w)
+    common = []
+    for rounds in ((200, 0), (0, 200)):
+        v, who = neardup.sketch(h, o, 2, 3, *rounds)
+        common.append(len(set(v[who == 0].tolist()) & set(v[who == 1].tolist())))
+    assert 0 < common[0] < 0.5 * common[1]
+
+
+def test_labels_tell_occurrences_apart():
+    w = [np.array([1, 2, 3, 1, 2, 3, 1, 2, 3]), np.array([7, 8, 9]), np.array([1, 2, 3])]
+    h, o = neardup.kmers(w)
+    assert neardup.occurrences(h, o).tolist() == [0, 0, 0, 1, 1, 1, 2, 0, 0]
+    # pasting changes ordered sketches, not plain ones, and records of like sets agree whatever shares their matrix
+    v, who = neardup.sketch(h, o, 3, 3, 0, 5)
+    alone, _ = neardup.sketch(*neardup.kmers(w[2:]), 1, 3, 0, 5)
+    assert v[who == 2].tolist() == alone.tolist()
+
+
+def test_prefix_filter_misses_nothing(spark):
+    r = random.Random(9)
+    texts = [(i, " ".join(r.choice("abcd") for _ in range(r.randint(3, 12)))) for i in range(150)]
+    df = spark.createDataFrame(texts, "id long, body string")
+    assert rows(neardup.NearDuplicates(df, "id", F.col("body"), exact=True).record_pairs()) == brute(texts)
+
+
+def test_alignment_settles_small_edits():
+    r = np.random.default_rng(3)
+    a = [r.integers(0, 10**6, 80) for _ in range(40)]
+    b = [np.delete(x, 7) if i % 2 else np.r_[x[40:], x[:40]] for i, x in enumerate(a)]
+    n = np.array([78] * 40)
+    ok, edit, proven = neardup.verify(a, b, n, np.array([len(x) - 2 for x in b]), 0.6)
+    assert ok.all() and proven[1::2].all() and not proven[::2].any() and (edit[1::2] == 1 - 1 / 80).all()
