@@ -1,15 +1,18 @@
 """Most similar vectors for every vector.
 
 Adaptive dimension scan over inverted lists: vectors are brought to length 1 and
-rotated, centroids are fitted on a bounded sample, and every vector is sent to the
-lists of its nearest centroids. Inside a list, partial distances are computed column
-block by column block, and a hypothesis test abandons a candidate as soon as the
-distance seen so far rules it out; the rest get their exact similarity.
+rotated, a tree of centroids is fitted on a bounded sample, and every vector is sent to
+the lists of its nearest centroids. The number of lists follows the number of vectors,
+so a list stays as long as it was, and a list that the sample shows to be long is cut
+by its own size. Inside a list, partial distances are computed column block by column
+block, and a hypothesis test abandons a candidate as soon as the distance seen so far
+rules it out; the rest get their exact similarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,13 +21,16 @@ from pyspark.sql import functions as F
 
 from lorekeep.scratch import Scratch
 
-#: Vectors that centroids are fitted on, chosen by a hash of their key; at most this many come to the driver.
-SAMPLE = 8192
-#: Vectors a list should hold, lists at most, and lists that a vector is compared with.
-LIST_SIZE, MOST_LISTS, PROBES = 512, 1024, 2
+#: Vectors that centroids are fitted on, in one task: eight a list, within these bounds, chosen by a hash of their key.
+#: At two sampled vectors a list the sample is used up, at 16.8 million vectors of a dimension; lists grow longer beyond.
+LEAST_SAMPLE, SAMPLE = 8192, 65_536
+#: Vectors a list should hold, and lists that a vector is compared with.
+LIST_SIZE, PROBES = 512, 2
+#: Up to so many lists their centroids are compared one by one, else by way of the nearest few of about as many branches as a branch has lists.
+FLAT, BRANCHES = 256, 4
 #: A set of keys of up to this many rows is broadcast rather than shuffled.
 FEW = 100_000
-#: A larger list is compared in cells of at most about this many candidates and queries.
+#: A list with more than about so many queries is compared in cells of a part of its candidates and a part of its queries.
 CELL = 8192
 #: Ends of the column blocks, as parts of the dimension.
 BLOCKS = (1 / 12, 1 / 6, 1 / 3, 2 / 3, 1)
@@ -66,6 +72,52 @@ def fit_centroids(x: np.ndarray, lists: int, rounds: int = 6, seed: int = 3) ->
     return c
 
 
+class Tree(NamedTuple):
+    """Centroids of lists, those of a branch side by side, and how many vectors of the sample are nearest to each."""
+
+    branches: np.ndarray
+    starts: np.ndarray
+    leaves: np.ndarray
+    sampled: np.ndarray
+
+
+def fit_tree(x: np.ndarray, lists: int) -> Tree:
+    lists = max(1, min(lists, len(x) // 2))
+    if lists <= FLAT:
+        branches, parts = x[:0], [fit_centroids(x, lists)]
+    else:
+        branches = fit_centroids(x, round(lists**0.5))
+        at = (x @ branches.T).argmax(1)
+        parts = []
+        for b in range(len(branches)):
+            own = x[at == b]
+            n = min(max(1, round(lists * len(own) / len(x))), len(own))
+            parts.append(fit_centroids(own, n) if n else branches[b : b + 1])
+    starts = np.cumsum([0, *map(len, parts)])
+    tree = Tree(branches, starts, np.concatenate(parts), np.zeros(0, np.int64))
+    return tree._replace(sampled=np.bincount(nearest_lists(x, tree, 1)[:, 0], minlength=len(tree.leaves)))
+
+
+def nearest_lists(v: np.ndarray, tree: Tree, probes: int) -> np.ndarray:
+    """The ``probes`` nearest lists of each vector, by way of its nearest branches."""
+    if not len(tree.branches):
+        return np.argsort(-(v @ tree.leaves.T), axis=1, kind="stable")[:, :probes]
+    few = min(BRANCHES, len(tree.branches))
+    near = np.argsort(-(v @ tree.branches.T), axis=1, kind="stable")[:, :few]
+    best = np.full((len(v), few * probes), -2.0, np.float32)
+    which = np.zeros((len(v), few * probes), np.int64)
+    for b in np.unique(near):
+        row, rank = np.nonzero(near == b)
+        lo, hi = tree.starts[b], tree.starts[b + 1]
+        cos = v[row] @ tree.leaves[lo:hi].T
+        n = min(probes, hi - lo)
+        top = np.argsort(-cos, axis=1, kind="stable")[:, :n]
+        col = rank[:, None] * probes + np.arange(n)
+        best[row[:, None], col] = np.take_along_axis(cos, top, 1)
+        which[row[:, None], col] = top + lo
+    return np.take_along_axis(which, np.argsort(-best, axis=1, kind="stable")[:, :probes], 1)
+
+
 def scan(q: np.ndarray, c: np.ndarray, floor: float, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, candidate index, cosine) of all pairs that reach ``floor``, by adaptive dimensions."""
     dim = q.shape[1]
@@ -112,6 +164,21 @@ def top(qi: np.ndarray, ids: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
     return order[np.arange(len(s)) - begin < k]
 
 
+def _sent(at: np.ndarray, part: np.ndarray, cells: np.ndarray, home: bool, keys: np.ndarray, raw: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows that take vectors to their list, ``home`` to be found there too: one row a vector, but one a cell and role in a list that is cut."""
+    whole = cells == 1
+    if whole.any():
+        zero = np.zeros(int(whole.sum()), np.int32)
+        yield pd.DataFrame({"list": at[whole].astype(np.int32), "cp": zero, "qp": zero, "home": home, "asks": True, "key": keys[whole], "vec": raw[whole]})
+    cut = np.nonzero(~whole)[0]
+    if len(cut):
+        i = np.repeat(cut, cells[cut])
+        other = np.concatenate([np.arange(c) for c in cells[cut]])
+        for asks in (False, True) if home else (True,):
+            cp, qp = (other, part[i]) if asks else (part[i], other)
+            yield pd.DataFrame({"list": at[i].astype(np.int32), "cp": cp.astype(np.int32), "qp": qp.astype(np.int32), "home": not asks, "asks": asks, "key": keys[i], "vec": raw[i]})
+
+
 def neighbours(rows: DataFrame, key: str, payload: str, dim: int, k: int = 10, floor: float = 0.8, probes: int = PROBES) -> DataFrame:
     """(key, other, cosine): up to k most similar others of each usable vector, all at or above ``floor``.
 
@@ -125,43 +192,43 @@ def neighbours(rows: DataFrame, key: str, payload: str, dim: int, k: int = 10, f
     empty = spark.createDataFrame([], "key string, other string, cosine double")
     if not n:
         return empty
-    if n > SAMPLE:
-        # twice the share that is needed, then the smallest hashes: at most SAMPLE rows
-        share = 2 * SAMPLE / n
+    lists = max(1, n // LIST_SIZE)
+    most = min(max(LEAST_SAMPLE, 8 * lists), SAMPLE)
+    few = base.select("payload")
+    if n > most:
+        # twice the share that is needed, then the smallest hashes
         h = F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("h")
-        few = base.select("payload", h).filter(F.col("h") < min(share, 1.0) * (1 << 30)).orderBy("h").limit(SAMPLE)
-    else:
-        few = base.select("payload")
-    _, x = unpack([r["payload"] for r in few.select("payload").collect()], dim)
-    if not len(x):
-        return empty
+        few = base.select("payload", h).filter(F.col("h") < min(2 * most / n, 1.0) * (1 << 30)).orderBy("h").limit(most).select("payload")
     turn = rotation(dim)
-    x = x @ turn
-    lists = min(max(1, n // LIST_SIZE), MOST_LISTS, len(x))
-    centroids = fit_centroids(x, lists)
-    probes = min(probes, lists)
-    cells = max(1, -(-3 * n // (lists * CELL)))
+
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = np.concatenate([np.zeros((0, dim), np.float32), *(unpack(list(p["payload"]), dim)[1] for p in parts)])
+        if len(x):
+            t = fit_tree(x @ turn, lists)
+            yield pd.DataFrame({"branches": [t.branches.tobytes()], "starts": [t.starts.astype(np.int64).tobytes()], "leaves": [t.leaves.tobytes()], "sampled": [t.sampled.tobytes()]})
+
+    # the sample stays in its task; the centroids, four to eight times fewer, come to the driver and go to every task
+    fitted = few.coalesce(1).mapInPandas(fit, "branches binary, starts binary, leaves binary, sampled binary").collect()
+    if not fitted:
+        return empty
+    tree = Tree(*[np.frombuffer(bytes(fitted[0][c]), t) for c, t in (("branches", np.float32), ("starts", np.int64), ("leaves", np.float32), ("sampled", np.int64))])
+    tree = tree._replace(branches=tree.branches.reshape(-1, dim), leaves=tree.leaves.reshape(-1, dim))
+    probes = min(probes, len(tree.leaves))
+    # queries a list will have, by its share of the sample; parts it is cut into
+    cells = np.maximum(1, -(-(tree.sampled * (n * probes)) // (max(int(tree.sampled.sum()), 1) * CELL))).astype(np.int64)
 
     def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             keep, v = unpack(list(p["payload"]), dim)
             v = v @ turn
-            near = np.argsort(-(v @ centroids.T), axis=1, kind="stable")[:, :probes] if probes < lists else np.argsort(-(v @ centroids.T), axis=1, kind="stable")
-            raw = [r.tobytes() for r in v]
-            keys = p["key"].to_numpy()[keep]
+            near = nearest_lists(v, tree, probes)
+            raw = np.array([r.tobytes() for r in v], dtype=object)
+            keys, h = p["key"].to_numpy()[keep], p["h"].to_numpy()[keep]
             for j in range(probes):
-                yield pd.DataFrame({"list": near[:, j].astype(np.int32), "home": np.full(len(keys), j == 0), "key": keys, "vec": raw})
-
-    routed = base.mapInPandas(route, "list int, home boolean, key string, vec binary")
-    # cells of a large list: candidates by one hash, queries by another; each pair of parts is a cell
-    if cells > 1:
-        own = F.pmod(F.xxhash64("key"), F.lit(cells)).cast("int")
-        sent = routed.withColumn("part", own)
-        cand = sent.filter("home").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).select("list", F.col("part").alias("cp"), F.col("cell").alias("qp"), F.lit(True).alias("home"), F.lit(False).alias("asks"), "key", "vec")
-        ask = sent.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).select("list", F.col("cell").alias("cp"), F.col("part").alias("qp"), F.lit(False).alias("home"), F.lit(True).alias("asks"), "key", "vec")
-        sent = cand.unionByName(ask)
-    else:
-        sent = routed.select("list", F.lit(0).alias("cp"), F.lit(0).alias("qp"), "home", F.lit(True).alias("asks"), "key", "vec")
+                at = near[:, j]
+                yield from _sent(at, h % cells[at], cells[at], j == 0, keys, raw)
+
+    sent = base.select("key", "payload", F.xxhash64("key").alias("h")).mapInPandas(route, "list int, cp int, qp int, home boolean, asks boolean, key string, vec binary")
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         v = np.frombuffer(b"".join(g["vec"]), np.float32).reshape(-1, dim)

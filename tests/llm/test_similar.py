@@ -35,10 +35,12 @@ def frame(spark, pairs):
     return spark.createDataFrame([(k, None if p is None else bytearray(p), "f", "v") for k, p in pairs], "cache_key string, payload binary, fingerprint string, key string")
 
 
-@pytest.mark.parametrize("cell", [8192, 60])
-def test_neighbours_match_brute_force(spark, monkeypatch, cell):
+@pytest.mark.parametrize("cell, flat", [(8192, 256), (60, 256), (8192, 4), (60, 4)])
+def test_neighbours_match_brute_force(spark, monkeypatch, cell, flat):
+    """Whole lists and cut ones, one level of centroids and two."""
     monkeypatch.setattr(knn, "CELL", cell)
-    monkeypatch.setattr(knn, "LIST_SIZE", 60)
+    monkeypatch.setattr(knn, "FLAT", flat)
+    monkeypatch.setattr(knn, "LIST_SIZE", 60 if flat == 256 else 40)
     a, b = clustered(600, 384, 1), clustered(300, 768, 2)
     got = {tuple(r) for r in knn.similar_pairs(frame(spark, [*a.items(), *b.items(), *list(a.items())[:20]])).select("key_a", "key_b").collect()}
     want = truth(a) | truth(b)
@@ -72,6 +74,16 @@ def test_scan_abandons_but_does_not_lose():
     assert len(got & want) >= 0.995 * len(want) and not got - {tuple(p) for p in np.argwhere(s >= 0.7999)}
 
 
+def test_lists_follow_the_vectors():
+    x = knn.unpack(list(clustered(3000, 384, 4).values()), 384)[1]
+    tree = knn.fit_tree(x, 400)
+    assert 380 <= len(tree.leaves) <= 420 and len(tree.branches) == 20 and tree.sampled.sum() == 3000 and tree.starts[-1] == len(tree.leaves)
+    near = knn.nearest_lists(x, tree, 2)
+    flat = np.argsort(-(x @ tree.leaves.T), axis=1)[:, :1]
+    assert (near[:, :1] == flat).mean() > 0.95 and (near[:, 0] != near[:, 1]).all()
+    assert len(knn.fit_tree(x[:3], 400).leaves) == 1
+
+
 # texts -------------------------------------------------------------------------
 
 
