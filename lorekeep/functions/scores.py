@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Midpoint and steepness by number of query tokens (up to 3, 7, 15, more).
 SIGMOID = ((3, 5.0, 0.7), (7, 8.0, 0.6), (15, 10.0, 0.55), (None, 12.0, 0.5))
 # Base salience by type, factor by verify state.
-TYPE_SALIENCE = {"decision": 1.0, "policy": 1.0, "fix": 0.85, "bugfix": 0.85, "pattern": 0.85, "preference": 0.75, "fact": 0.7}
+TYPE_SALIENCE = {"decision": 1.0, "policy": 1.0, "fix": 0.85, "pattern": 0.85, "preference": 0.75, "fact": 0.7}
 STATE_FACTOR = {"verified": 1.1, "stale": 0.7, "invalidated": 0.5, "unprovable": 0.5}
 
 

@@ -9,9 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions.text import backticked, entity_key, has_file_ending, is_path
 from lorekeep.scratch import Scratch
 
 
+#: Graphs of up to so many nodes have their ranks broadcast.
+FEW_NODES = 500_000
+
+
 def comention_edges(mentions: DataFrame, entity: str = "entity_id", obs: str = "observation_id") -> DataFrame:
     """(src, dst, weight, first_obs), src < dst: in how many observations both occur."""
     m = mentions.select(F.col(entity).alias("e"), F.col(obs).alias("o")).distinct()
@@ -65,10 +70,12 @@ def personalized_pagerank(edges: DataFrame, seeds: DataFrame, alpha: float = 0.5
     ends = flow.select(F.col("src").alias("node")).distinct().withColumn("goes", F.lit(True))
     base = s.save(hit.select("node", start.alias("e")).join(ends, "node", "left"))
     p = base.select("node", F.col("e").alias("p"))
+    # ranks of a counted number of nodes go to the edges, which then stay in place; else both sides are shuffled
+    sent = F.broadcast if n_all <= FEW_NODES else (lambda df: df)
     for i in range(rounds):
-        inflow = p.join(flow, p["node"] == flow["src"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("share")).alias("inflow"))
+        inflow = sent(p).join(flow, p["node"] == flow["src"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("share")).alias("inflow"))
         lost = p.join(base.filter("goes IS NULL").select("node"), "node", "left_semi").agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("lost"))
-        p = base.join(inflow, base["node"] == inflow["dst"], "left").join(F.broadcast(lost)).select("node", ((1 - alpha) * F.col("e") + alpha * (F.coalesce("inflow", F.lit(0.0)) + F.col("lost") * F.col("e"))).alias("p"))
+        p = base.join(sent(inflow), base["node"] == inflow["dst"], "left").join(F.broadcast(lost)).select("node", ((1 - alpha) * F.col("e") + alpha * (F.coalesce("inflow", F.lit(0.0)) + F.col("lost") * F.col("e"))).alias("p"))
         if (i + 1) % every == 0:
             p = s.save(p)
     return p.select("node", F.col("p").alias("score"))
@@ -106,12 +113,24 @@ def entity_walk(links: DataFrame, seeds: DataFrame, per_entity: int = 10, gain:
     return paths.select("seed", "fact_id", F.least(F.lit(cap), gain * F.col("n")).alias("boost"))
 
 
-def mine_entities(df: DataFrame, key: str, text: str, most: int = 12) -> DataFrame:
-    """(key, name, norm_name, pos): backticked words, then path-like words, the first ``most`` of each, one row a normalized name."""
-    from lorekeep.functions.text import entity_key
+def mine_entities(df: DataFrame, key: str, title: str, content: str, anchors: str | None = None, most: int = 12) -> DataFrame:
+    """(key, norm_name, name, kind, source, pos): entities of anchors, then of backticks, then path-like words of title and content.
 
-    ticks = F.slice(F.regexp_extract_all(F.col(text), F.lit("`([^`\n]{1,64})`"), F.lit(1)), 1, most)
-    paths = F.slice(F.regexp_extract_all(F.col(text), F.lit(r"([A-Za-z0-9_]+(?:/[A-Za-z0-9_]+)+\.[a-z]{1,6})"), F.lit(1)), 1, most)
-    rows = df.filter(F.col(text).isNotNull()).select(F.col(key), F.posexplode(F.concat(ticks, paths)).alias("pos", "name"))
-    rows = rows.withColumn("norm_name", entity_key(F.col("name"))).filter("norm_name <> ''")
-    return rows.groupBy(key, "norm_name").agg(F.min_by("name", "pos").alias("name"), F.min("pos").cast("long").alias("pos"))
+    At most ``most`` of the backticked and of the path-like ones are looked at; a
+    normalized name counts once, by its first source. An anchor ``path::symbol``
+    names a file and a symbol. ``anchors`` is a column of arrays; null means none.
+    """
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(content, F.lit("")))
+    entity = lambda name, kind, source: F.struct(name.alias("name"), kind.alias("kind"), F.lit(source).alias("source"))
+    shape = lambda t: F.when(F.contains(t, F.lit("/")) | has_file_ending(t), "file").otherwise("concept")
+    ticks = F.transform(F.slice(backticked(text), 1, most), lambda t: entity(t, shape(t), "backtick"))
+    paths = F.transform(F.slice(F.filter(F.split(text, r"\s+"), is_path), 1, most), lambda t: entity(t, F.lit("file"), "token"))
+    parts = [ticks, paths]
+    if anchors:
+        path = lambda a: entity(F.regexp_replace(F.get(F.split(F.trim(a), "::"), F.lit(0)), r"^\./", ""), F.lit("file"), "anchor")
+        symbol = lambda a: entity(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.trim(a), "::(.*)$", 1), "^&", ""), r"\(\)$", ""), F.lit("symbol"), "anchor")
+        listed = F.filter(F.coalesce(anchors, F.array().cast("array<string>")), lambda a: F.trim(a) != "")
+        parts.insert(0, F.flatten(F.transform(listed, lambda a: F.when(F.contains(a, F.lit("::")), F.array(path(a), symbol(a))).otherwise(F.array(path(a))))))
+    rows = df.select(F.col(key), F.posexplode(F.concat(*parts)).alias("pos", "e")).select(key, "pos", entity_key(F.col("e.name")).alias("norm_name"), "e")
+    g = rows.filter("norm_name <> ''").groupBy(key, "norm_name").agg(F.min_by("e", "pos").alias("e"), F.min("pos").cast("long").alias("pos"))
+    return g.select(key, "norm_name", "e.name", "e.kind", "e.source", "pos")

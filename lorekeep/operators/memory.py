@@ -60,6 +60,15 @@ def last_writer(local: DataFrame, remote: DataFrame, key: str, at: str) -> DataF
     return a.join(b, key, "full").select(key, outcome.alias("outcome"))
 
 
+def merged_rows(local: DataFrame, remote: DataFrame, key: str, at: str) -> DataFrame:
+    """The rows of both sides with an outcome as in ``last_writer``: the remote row replaces the local one only if it is strictly newer."""
+    rest = [c for c in local.columns if c != key]
+    a, b = local.select(key, F.struct(*rest).alias("__a")), remote.select(key, F.struct(*rest).alias("__b"))
+    newer = F.col("__b").isNotNull() & (F.col("__a").isNull() | (F.col(f"__b.{at}") > F.col(f"__a.{at}")))
+    outcome = F.when(F.col("__a").isNull(), "insert").when(F.col("__b").isNull(), "local_only").when(newer, "overwrite").otherwise("keep")
+    return a.join(b, key, "full").select(key, F.when(newer, F.col("__b")).otherwise(F.col("__a")).alias("__r"), outcome.alias("outcome")).select(key, "__r.*", "outcome")
+
+
 def merge_ignore(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """Target rows, then source rows whose key the target lacks (of equal source keys one)."""
     return target.unionByName(source.dropDuplicates([key]).join(target.select(key), key, "left_anti"))
@@ -72,7 +81,11 @@ def patched(base: DataFrame, patch: DataFrame, key: str, fields: list[str]) -> D
     return j.select(*[F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c) for c in base.columns])
 
 
-def save_outcomes(df: DataFrame, most_chars: int = 50_000, days: int = 30) -> DataFrame:
+# Fixed value: characters that an observation may have.
+MOST_CHARS = 50_000
+
+
+def save_outcomes(df: DataFrame, most_chars: int = MOST_CHARS, days: int = 30) -> DataFrame:
     """(id, outcome): what saving each row in time order does.
 
     rejected (blank or too long content, unknown scope), repeated (a sync_id seen

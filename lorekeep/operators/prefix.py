@@ -23,7 +23,7 @@ def block_prefix_sum(df: DataFrame, group: list[str], block: Column, order: list
     inner = Window.partitionBy(*group, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(out, F.coalesce(F.sum(v).over(inner), F.lit(0)))
     totals = rows.groupBy(*group, b).agg(F.sum(v).alias(v))
-    before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)  # a row a block
     heads = totals.select(*group, b, F.coalesce(F.sum(v).over(before), F.lit(0)).alias(head))
     keys = [*group, b]
     cond = None

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as tx
 from lorekeep.functions.times import inferred_range
 from lorekeep.operators import graph as gr
+from lorekeep.operators import lexical as lx
 from lorekeep.operators import memory as mem
 from lorekeep.operators.hierarchy import hierarchy
 from lorekeep.operators.relational import keyset_page, ranked
-from lorekeep.plans.registry import Registry, table
+from lorekeep.plans.search import _WHOLE, _phrase_sql
+from lorekeep.plans.registry import TOKENS, Registry, table
 from lorekeep.sources.memory import facts, links, mentions, observations, queries
 
 R = Registry()
@@ -55,16 +57,16 @@ def job_page(spark: SparkSession, folder: str) -> DataFrame:
     return e.orderBy(F.desc("ts"), F.desc("event_id")).offset(20).limit(20)
 
 
-@R.add("save_validation", O + "SELECT CASE WHEN content IS NULL OR trim(content) = '' THEN 'blank' WHEN length(content) > 1000 THEN 'long' WHEN scope IS NULL OR scope NOT IN ('project','personal','team') THEN 'scope' ELSE 'ok' END AS reason, count(*) AS n FROM o GROUP BY 1")
+@R.add("save_validation", O + "SELECT CASE WHEN content IS NULL OR trim(content) = '' THEN 'blank' WHEN length(content) > 50000 THEN 'long' WHEN scope IS NULL OR scope NOT IN ('project','personal','team') THEN 'scope' ELSE 'ok' END AS reason, count(*) AS n FROM o GROUP BY 1")
 def save_validation(spark: SparkSession, folder: str) -> DataFrame:
     o = observations(spark, folder)
     bad_scope = F.col("scope").isNull() | ~F.col("scope").isin("project", "personal", "team")
-    reason = F.when(F.col("content").isNull() | (F.trim("content") == ""), "blank").when(F.length("content") > 1000, "long").when(bad_scope, "scope").otherwise("ok")
+    reason = F.when(F.col("content").isNull() | (F.trim("content") == ""), "blank").when(F.length("content") > mem.MOST_CHARS, "long").when(bad_scope, "scope").otherwise("ok")
     return o.select(reason.alias("reason")).groupBy("reason").agg(_n().alias("n"))
 
 
 _SAVE = """
-WITH RECURSIVE o AS (SELECT DISTINCT id, sync_id, topic_key, scope, normalized_hash AS h, created_at AS t, content FROM observations),
+WITH RECURSIVE o AS (SELECT DISTINCT id, sync_id, topic_key, scope, normalized_hash AS h, created_at AS t, content FROM observations WHERE deleted_at IS NULL),
 g AS (SELECT *, row_number() OVER (PARTITION BY sync_id ORDER BY t, id) AS ns FROM o WHERE content IS NOT NULL AND trim(content) <> '' AND length(content) <= 50000 AND scope IN ('project','personal','team')),
 w AS (SELECT *, CASE WHEN topic_key IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY topic_key, scope ORDER BY t, id) END AS nt FROM g WHERE ns = 1 OR sync_id IS NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY t, id) AS n FROM w WHERE nt = 1 AND h IS NOT NULL),
@@ -77,8 +79,8 @@ FROM o LEFT JOIN g ON g.id = o.id LEFT JOIN w ON w.id = o.id LEFT JOIN f ON f.id
 
 @R.add("save_outcomes", _SAVE)
 def save_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    """The save pipeline over all rows in time order."""
-    return mem.save_outcomes(observations(spark, folder))
+    """The save pipeline over all live rows in time order: deleted ones match nothing."""
+    return mem.save_outcomes(observations(spark, folder, live_only=True))
 
 
 @R.add("facts_of_observations", F_ + "SELECT evidence_obs_id AS id, count(*) AS facts, round(max(salience), 6) AS top_salience FROM f WHERE evidence_obs_id IS NOT NULL GROUP BY 1")
@@ -125,7 +127,7 @@ def recent_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return keyset_page(d.select("doc_id", "created_at"), F.col("created_at"), F.col("doc_id"), None, 20)
 
 
-@R.add("prompt_search", "SELECT doc_id FROM documents WHERE lower(trim(replace(source, '-', '_'))) = 'prompt_log' AND list_contains(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 'session') ORDER BY doc_id DESC")
+@R.add("prompt_search", "SELECT doc_id FROM documents WHERE lower(trim(replace(source, '-', '_'))) = 'prompt_log' AND list_contains(" + TOKENS.format("text") + ", 'session') ORDER BY doc_id DESC")
 def prompt_search(spark: SparkSession, folder: str) -> DataFrame:
     """Prompts with a word, newest id first."""
     d = table(spark, folder, "documents").filter(F.lower(F.trim(F.regexp_replace("source", "-", "_"))) == "prompt_log")
@@ -145,8 +147,8 @@ def lineage_closure(spark: SparkSession, folder: str) -> DataFrame:
     return linked.select(F.col("node_id").alias("id"), "members")
 
 
-@R.add("fact_membership", """
-WITH q AS (SELECT entity_id AS query, list_distinct(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+')) AS t FROM entities), f AS (SELECT DISTINCT fact_id, list_distinct(regexp_extract_all(lower(coalesce(subject,'') || ' ' || coalesce(predicate,'') || ' ' || coalesce(object,'')), '[\\p{L}\\p{N}]+')) AS w FROM facts)
+@R.add("fact_membership", f"""
+WITH q AS (SELECT entity_id AS query, list_distinct({TOKENS.format("name")}) AS t FROM entities), f AS (SELECT DISTINCT fact_id, list_distinct({TOKENS.format("coalesce(subject,'') || ' ' || coalesce(predicate,'') || ' ' || coalesce(object,'')")}) AS w FROM facts)
 SELECT query, fact_id FROM q JOIN f ON len(t) > 0 AND list_has_all(w, t)
 """)
 def fact_membership(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,16 +159,6 @@ def fact_membership(spark: SparkSession, folder: str) -> DataFrame:
     return hit.groupBy("query", "fact_id", "need").agg(_n().alias("n")).filter("n = need").select("query", "fact_id")
 
 
-@R.add("title_conflicts", O + """
-SELECT id, coalesce(lag(id) OVER (PARTITION BY scope, type, lower(title) ORDER BY created_at, id), -1) AS earlier FROM o WHERE title IS NOT NULL AND deleted_at IS NULL
-""")
-def title_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    """The live observation of equal scope, type and title that a new one meets (-1: none)."""
-    w = Window.partitionBy("scope", "type", F.lower("title")).orderBy("created_at", "id")
-    o = observations(spark, folder, live_only=True).filter("title IS NOT NULL")
-    return o.select("id", F.lag("id", 1, -1).over(w).alias("earlier"))
-
-
 @R.add("key_expand", F_ + """
 , t AS (SELECT evidence_obs_id AS id, unnest([lower(subject), lower(object)]) AS term FROM f WHERE evidence_obs_id IS NOT NULL)
 SELECT id, string_agg(DISTINCT term, ' ' ORDER BY term) AS key_expand FROM t WHERE term IS NOT NULL GROUP BY 1
@@ -178,15 +170,22 @@ def key_expand(spark: SparkSession, folder: str) -> DataFrame:
     return t.distinct().groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("term")), " ").alias("key_expand"))
 
 
-@R.add("query_expansion", """
-WITH l AS (SELECT DISTINCT entity_id, fact_id FROM entity_links), f AS (SELECT DISTINCT fact_id, lower(predicate) AS p, salience FROM facts), j AS (SELECT entity_id AS query, p, max(salience) AS s FROM l JOIN f ON f.fact_id = l.fact_id GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, p) AS n FROM j) SELECT query, p AS term, n FROM r WHERE n <= 8
-""")
+_FACT_HITS = _phrase_sql({"subject": 5.0, "predicate": 1.0, "object": 3.0, "temporal": 0.5}, "SELECT DISTINCT * FROM facts", "fact_id", _WHOLE, """, total AS (SELECT query, doc, sum(score) AS score FROM part GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM total),
+x AS (SELECT r.query, e.name, unnest([trim(s.subject), trim(s.object)]) AS term, unnest([2 * r.rank, 2 * r.rank + 1]) AS pos FROM r JOIN src s ON s.fact_id = r.doc JOIN entities e ON e.entity_id = r.query WHERE r.rank <= 12),
+y AS (SELECT query, lower(term) AS term, min(pos) AS pos FROM x WHERE strlen(term) >= 2 AND NOT contains(lower(name), lower(term)) GROUP BY 1, 2)
+SELECT query, term, row_number() OVER (PARTITION BY query ORDER BY pos) AS n FROM y QUALIFY n <= 8""")
+
+
+@R.add("query_expansion", _FACT_HITS)
 def query_expansion(spark: SparkSession, folder: str) -> DataFrame:
-    """The eight weightiest fact terms of each entity."""
-    f = facts(spark, folder).select("fact_id", F.lower("predicate").alias("term"), "salience")
-    j = links(spark, folder).join(f, "fact_id").groupBy(F.col("entity_id").alias("query"), "term").agg(F.max("salience").alias("s"))
-    return ranked(j, ["query"], [F.desc("s"), F.col("term")], 8, "n").select("query", "term", "n")
+    """Up to eight subjects and objects of a query's twelve best facts that it does not hold already, in the order of the facts."""
+    f, cols = facts(spark, folder), {"subject": 5.0, "predicate": 1.0, "object": 3.0, "temporal": 0.5}
+    hits = lx.top(lx.search(f, "fact_id", cols, lx.phrase_table(queries(spark, folder), "query_id", "text")), 12)
+    x = hits.join(f.select(F.col("fact_id").alias("doc"), "subject", "object"), "doc").join(F.broadcast(queries(spark, folder).withColumnRenamed("query_id", "query")), "query")
+    x = x.select("query", F.lower("text").alias("text"), "rank", F.posexplode(F.array(F.trim("subject"), F.trim("object"))).alias("side", "term")).withColumn("low", F.lower("term"))
+    y = x.filter((F.octet_length("term") >= 2) & ~F.contains("text", F.col("low"))).groupBy("query", F.col("low").alias("term")).agg(F.min(2 * F.col("rank") + F.col("side")).alias("pos"))
+    return ranked(y, ["query"], [F.col("pos")], 8, "n").select("query", "term", "n")
 
 
 @R.add("embedding_cache_hits", O + """
@@ -207,18 +206,32 @@ def document_previews(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(tx.preview(F.col("text"))).alias("preview"))
 
 
-@R.add("entity_normal_forms", "SELECT entity_id, lower(regexp_replace(name, '[^\\p{L}\\p{N}./_:]', '', 'g')) AS norm_name, CASE WHEN contains(name, '/') OR regexp_matches(lower(name), '\\.(rs|py|ts|md|sql|toml|yaml|proto)$') THEN 'file' ELSE 'concept' END AS shape FROM entities")
+@R.add("entity_normal_forms", "SELECT entity_id, lower(regexp_replace(name, '[^\\p{L}\\p{N}./_:]', '', 'g')) AS norm_name, CASE WHEN contains(name, '/') OR regexp_matches(name, '\\.(rs|ts|py|go|js|md|toml|yml|yaml)$') THEN 'file' ELSE 'concept' END AS shape FROM entities")
 def entity_normal_forms(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "entities")
-    file = F.contains("name", F.lit("/")) | F.lower("name").rlike(r"\.(rs|py|ts|md|sql|toml|yaml|proto)$")
+    file = F.contains("name", F.lit("/")) | tx.has_file_ending(F.col("name"))
     return e.select("entity_id", tx.entity_key(F.col("name")).alias("norm_name"), F.when(file, "file").otherwise("concept").alias("shape"))
 
 
-@R.add("anchor_parts", "SELECT entity_id, regexp_extract(name, '^([^#:]+)', 1) AS path, length(name) AS n FROM entities WHERE kind = 'file'")
+# Fixed ends that the names are given, so that every form of an anchor is met.
+_ANCHOR_ENDS = ["", "::run", "::run::42", "::run::x", "::", ":12-40", ":x-y", ":7", "::run::0007"]
+
+
+@R.add("anchor_parts", f"""
+WITH a AS (SELECT DISTINCT trim(name || s) AS t FROM entities, (SELECT unnest([{", ".join(repr(x) for x in _ANCHOR_ENDS)}]) AS s) WHERE trim(name || s) <> ''),
+p AS (SELECT t, regexp_matches(t, '^[^:]*:[0-9]+-[0-9]+$') AS ranged, string_split(t, '::') AS x FROM a),
+q AS (SELECT t AS anchor, replace(CASE WHEN ranged THEN split_part(t, ':', 1) ELSE x[1] END, chr(92), '/') AS path, CASE WHEN NOT ranged THEN nullif(x[2], '') END AS symbol,
+ CASE WHEN ranged THEN split_part(split_part(t, ':', 2), '-', 1) ELSE x[3] END AS a, CASE WHEN ranged THEN split_part(split_part(t, ':', 2), '-', 2) ELSE x[3] END AS b FROM p),
+n AS (SELECT anchor, path, symbol, TRY_CAST(a AS INT) AS lo, TRY_CAST(b AS INT) AS hi FROM q)
+SELECT anchor, path, coalesce(symbol, '') AS symbol, coalesce(lo, -1) AS line_start, coalesce(hi, -1) AS line_end,
+ CASE WHEN symbol IS NOT NULL AND lo = hi THEN path || '::' || symbol || '::' || lo WHEN symbol IS NOT NULL THEN path || '::' || symbol WHEN lo <> hi THEN path || ':' || lo || '-' || hi WHEN lo IS NOT NULL THEN path || '::' || lo ELSE path END AS canonical FROM n
+""")
 def anchor_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """File anchors parsed to their path."""
-    e = table(spark, folder, "entities").filter("kind = 'file'")
-    return e.select("entity_id", tx.anchor(F.col("name"))["path"].alias("path"), F.length("name").cast("long").alias("n"))
+    """Anchors of all forms taken apart and written in the one canonical way."""
+    ends = F.explode(F.array(*[F.lit(x) for x in _ANCHOR_ENDS])).alias("s")
+    e = table(spark, folder, "entities").select("name", ends).select(F.trim(F.concat("name", "s")).alias("anchor")).distinct().withColumn("a", tx.anchor(F.col("anchor"))).filter("a IS NOT NULL")
+    none = lambda c: F.coalesce(F.col(c), F.lit(-1))
+    return e.select("anchor", "a.path", F.coalesce("a.symbol", F.lit("")).alias("symbol"), none("a.line_start").alias("line_start"), none("a.line_end").alias("line_end"), tx.anchor_text(F.col("a")).alias("canonical"))
 
 
 @R.add("induced_edges", _CE + """
@@ -269,22 +282,21 @@ def cascade_children(spark: SparkSession, folder: str) -> DataFrame:
     return f.unionByName(m).join(d, "parent", "left_semi").select("kind", "child", "parent")
 
 
-@R.add("prunable_projects", O + "SELECT project, count(*) AS observations FROM o GROUP BY 1 HAVING count(*) FILTER (deleted_at IS NULL) <= 1")
+@R.add("prunable_projects", O + "SELECT project, count(*) AS observations FROM o GROUP BY 1 HAVING count(*) FILTER (deleted_at IS NULL) = 0")
 def prunable_projects(spark: SparkSession, folder: str) -> DataFrame:
+    """Projects without a live observation."""
     g = observations(spark, folder).groupBy("project").agg(_n().alias("observations"), F.count_if(F.col("deleted_at").isNull()).alias("live"))
-    return g.filter("live <= 1").select("project", "observations")
+    return g.filter("live = 0").select("project", "observations")
 
 
 @R.add("worst_state", O + """
-, r AS (SELECT session_id, max(CASE verify_state WHEN 'verified' THEN 0 WHEN 'unanchored' THEN 1 WHEN 'stale' THEN 2 WHEN 'unprovable' THEN 3 WHEN 'invalidated' THEN 4 ELSE 1 END) AS k FROM o WHERE session_id IS NOT NULL GROUP BY 1)
-SELECT session_id, ['verified','unanchored','stale','unprovable','invalidated'][k + 1] AS worst FROM r
+, r AS (SELECT session_id, max(CASE verify_state WHEN 'verified' THEN 1 WHEN 'stale' THEN 2 WHEN 'invalidated' THEN 3 WHEN 'unprovable' THEN 4 ELSE 0 END) AS k FROM o WHERE session_id IS NOT NULL GROUP BY 1)
+SELECT session_id, ['unanchored','verified','stale','invalidated','unprovable'][k + 1] AS worst FROM r
 """)
 def worst_state(spark: SparkSession, folder: str) -> DataFrame:
     """The worst verify state of each session."""
-    order = ["verified", "unanchored", "stale", "unprovable", "invalidated"]
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in order]), F.col("verify_state")).cast("int"), F.lit(2))
-    g = observations(spark, folder).filter("session_id IS NOT NULL").groupBy("session_id").agg(F.max(F.when(rank == 0, 2).otherwise(rank)).alias("k"))
-    return g.select("session_id", F.element_at(F.array(*[F.lit(x) for x in order]), F.col("k").cast("int")).alias("worst"))
+    g = observations(spark, folder).filter("session_id IS NOT NULL").groupBy("session_id").agg(F.max(tx.state_rank(F.col("verify_state"))).alias("k"))
+    return g.select("session_id", tx.state_of(F.col("k")).alias("worst"))
 
 
 @R.add("session_summaries", F_ + "SELECT source_session AS session_id, count(*) AS facts, round(sum(salience), 3) AS salience FROM f WHERE source_session IS NOT NULL GROUP BY 1 HAVING count(*) >= 3")
@@ -328,21 +340,36 @@ def ingest_ids(spark: SparkSession, folder: str) -> DataFrame:
     return observations(spark, folder).select("id", F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in cols]), 256).alias("ingest_id"))
 
 
-@R.add("inferred_ranges", F_ + """
-, t AS (SELECT fact_id, lower(temporal) AS t FROM f WHERE temporal IS NOT NULL), r AS (SELECT fact_id, CASE WHEN regexp_full_match(t, '[0-9]{4}-[0-9]{2}') THEN (t || '-01')::DATE WHEN contains(t, 'last week') THEN DATE '2025-12-18' END AS start_day,
- CASE WHEN regexp_full_match(t, '[0-9]{4}-[0-9]{2}') THEN last_day((t || '-01')::DATE) WHEN contains(t, 'last week') THEN DATE '2026-01-01' END AS end_day FROM t)
-SELECT fact_id, strftime(start_day, '%Y-%m-%d') AS start_day, strftime(end_day, '%Y-%m-%d') AS end_day FROM r WHERE start_day IS NOT NULL
+# Fixed texts, so that every phrase and date form is met.
+_TIMES = ["what happened yesterday", "done today", "over the last weekend", "this week", "last week", "this month", "last month", "last year", "on 2025-02-30 or 2025-03-01", "in 2024", "in 20xx", "two days ago", "before the move", "yesterday, not 2025-03-01", "last week, not 2025-03-01", "no time at all", ""]
+
+
+@R.add("inferred_ranges", f"""
+WITH s AS (SELECT DISTINCT 'fact ' || fact_id AS key, temporal AS text FROM facts WHERE temporal IS NOT NULL UNION ALL SELECT * FROM (VALUES {", ".join(f"('text {i}', '{x}')" for i, x in enumerate(_TIMES))})),
+d AS (SELECT key, lower(text) AS t, list_filter(list_transform(regexp_extract_all(lower(text), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), lambda x: TRY_CAST(x AS DATE)), lambda x: x IS NOT NULL)[1] AS iso, TRY_CAST(regexp_extract(lower(text), 'in (20[0-9]{{2}})', 1) || '-01-01' AS DATE) AS yr FROM s),
+r AS (SELECT key, CASE WHEN contains(t, 'yesterday') THEN 'day:2025-12-31' WHEN contains(t, 'today') THEN 'day:2026-01-01' WHEN contains(t, 'last weekend') THEN 'weekend' WHEN contains(t, 'this week') THEN 'back:7' WHEN contains(t, 'last week') THEN 'back:14'
+ WHEN contains(t, 'this month') THEN 'back:31' WHEN contains(t, 'last month') THEN 'back:62' WHEN contains(t, 'last year') THEN 'back:730' WHEN coalesce(iso, yr) IS NOT NULL THEN 'day:' || coalesce(iso, yr) WHEN regexp_matches(t, 'ago|in 20|before |after |on 20') THEN 'back:90' END AS k FROM d)
+SELECT key, CASE WHEN k = 'weekend' THEN TIMESTAMP '2025-12-27' WHEN k LIKE 'day:%' THEN k[5:]::TIMESTAMP ELSE TIMESTAMP '2026-01-01 09:30:00' - to_days(k[6:]::INT) END AS start_at,
+ CASE WHEN k = 'weekend' THEN TIMESTAMP '2025-12-28 23:59:59' WHEN k LIKE 'day:%' THEN k[5:]::TIMESTAMP + INTERVAL '23:59:59' ELSE TIMESTAMP '2026-01-01 09:30:00' END AS end_at FROM r WHERE k IS NOT NULL
 """)
 def inferred_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    """Time ranges that facts name in free text."""
-    f = facts(spark, folder).filter("temporal IS NOT NULL").select("fact_id", inferred_range(F.col("temporal"), F.lit("2026-01-01").cast("date")).alias("r")).filter("r IS NOT NULL")
-    return f.select("fact_id", F.date_format("r.start", "yyyy-MM-dd").alias("start_day"), F.date_format("r.end", "yyyy-MM-dd").alias("end_day"))
+    """Time ranges that facts and questions name."""
+    f = facts(spark, folder).filter("temporal IS NOT NULL").select(F.concat(F.lit("fact "), "fact_id").alias("key"), F.col("temporal").alias("text"))
+    t = spark.createDataFrame([(f"text {i}", x) for i, x in enumerate(_TIMES)], "key string, text string")
+    r = f.unionByName(t).select("key", inferred_range(F.col("text"), F.to_timestamp_ntz(F.lit("2026-01-01 09:30:00"))).alias("r")).filter("r IS NOT NULL")
+    return r.select("key", F.col("r.start").alias("start_at"), F.col("r.end").alias("end_at"))
+
 
+_NAME_FORMS = ["{0}", "{0} _a/b", ".{0}", "{0}..{0}", "{0}--x-", "é?"]
 
-@R.add("project_slugs", "SELECT DISTINCT source, regexp_replace(regexp_replace(lower(trim(source)), '[\\s_/\\\\]+', '-', 'g'), '[^a-z0-9.-]', '', 'g') AS name FROM documents WHERE source IS NOT NULL")
+
+@R.add("project_slugs", "WITH s AS (" + " UNION ".join("SELECT DISTINCT " + " || ".join(["''", *[f"'{x}'" if i % 2 == 0 else "source" for i, x in enumerate(f.split("{0}")[j // 2] if j % 2 == 0 else "" for j in range(2 * len(f.split("{0}")) - 1)) if i % 2 or x]]) + " AS source FROM documents WHERE source IS NOT NULL" for f in _NAME_FORMS) + """),
+n AS (SELECT source, regexp_replace(translate(lower(trim(source)), ' _', '--'), '[^a-z0-9.-]', '', 'g') AS name FROM s) SELECT source, name FROM n WHERE name <> '' AND NOT starts_with(name, '.') AND NOT contains(name, '..')""")
 def project_slugs(spark: SparkSession, folder: str) -> DataFrame:
-    """Normal names of the documents' sources."""
-    return table(spark, folder, "documents").filter("source IS NOT NULL").select("source", tx.project_name(F.col("source")).alias("name")).distinct()
+    """Names on disk of the documents' sources and of variants of them; unsafe ones have none."""
+    d = table(spark, folder, "documents").filter("source IS NOT NULL").select("source").distinct()
+    forms = F.explode(F.array(*[F.replace(F.lit(f), F.lit("{0}"), "source") for f in _NAME_FORMS]))
+    return d.select(forms.alias("source")).distinct().select("source", tx.project_name(F.col("source")).alias("name")).filter("name IS NOT NULL")
 
 
 @R.add("decision_keys", O + "SELECT id, 'decision/' || substring(sha256(trim(title)), 1, 12) AS topic_key FROM o WHERE type = 'decision' AND title IS NOT NULL")
@@ -351,19 +378,29 @@ def decision_keys(spark: SparkSession, folder: str) -> DataFrame:
     return o.select("id", tx.decision_key(F.col("title")).alias("topic_key"))
 
 
-@R.add("type_families", O + "SELECT CASE WHEN lower(type) IN ('decision','policy','preference','pattern','summary','discovery') THEN lower(type) WHEN lower(type) IN ('bugfix','fix') THEN 'fix' ELSE 'note' END AS family, count(*) AS n FROM o GROUP BY 1")
+@R.add("type_families", O + "SELECT CASE WHEN type IN ('decision','policy','preference','note','learning','config') THEN type ELSE 'general' END AS family, count(*) AS n FROM o GROUP BY 1")
 def type_families(spark: SparkSession, folder: str) -> DataFrame:
     return observations(spark, folder).select(tx.family(F.col("type")).alias("family")).groupBy("family").agg(_n().alias("n"))
 
 
-@R.add("temporal_order", """
-WITH t AS (SELECT DISTINCT fact_id, project, CASE WHEN regexp_matches(temporal, '\\b(19|20)[0-9][0-9]\\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(lower(temporal), '(yesterday|today|tomorrow|last|next|week|month|year|before|after|since|until|when)') THEN 1 ELSE 0 END AS score FROM facts WHERE temporal IS NOT NULL)
-SELECT fact_id, score, row_number() OVER (PARTITION BY project ORDER BY score DESC, fact_id) AS rank FROM t
+# Fixed questions, one for each relation in time.
+_ASKED = ["what is the latest rule", "what came first in 2025", "what was before that", "what did it use later", "what does it use in 2026", "which one"]
+
+
+@R.add("temporal_order", F_ + f"""
+, h AS (SELECT project, fact_id, row_number() OVER (PARTITION BY project ORDER BY salience DESC, fact_id) AS place, lower(coalesce(subject,'') || ' ' || coalesce(predicate,'') || ' ' || coalesce(object,'') || ' ' || coalesce(temporal,'')) AS t FROM f QUALIFY place <= 20),
+q AS (SELECT i AS question, q, CASE WHEN regexp_matches(q, 'latest|most recent|last') THEN 'latest|most recent' WHEN regexp_matches(q, 'first|earliest') THEN 'first|earliest' WHEN regexp_matches(q, 'before|earlier') THEN 'before|earlier' WHEN regexp_matches(q, 'after|later') THEN 'after|later' END AS says,
+ nullif(regexp_extract(q, '[0-9]{{4}}'), '') AS yr FROM (VALUES {", ".join(f"({i}, '{x}')" for i, x in enumerate(_ASKED))}) v(i, q)),
+s AS (SELECT question, project, fact_id, place, CASE WHEN yr IS NOT NULL AND NOT contains(t, yr) THEN -100 WHEN says IS NOT NULL AND regexp_matches(t, says) THEN 2 ELSE 0 END AS score FROM h, q)
+SELECT question, project, fact_id, score, row_number() OVER (PARTITION BY question, project ORDER BY score DESC, place) AS rank FROM s
 """)
 def temporal_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts reordered so that those that speak of time come first."""
-    f = facts(spark, folder).filter("temporal IS NOT NULL").select("fact_id", "project", tx.temporal_score(F.col("temporal")).alias("score"))
-    return ranked(f, ["project"], [F.desc("score"), F.col("fact_id")]).select("fact_id", "score", "rank")
+    """The 20 weightiest facts of each project reordered for questions on time: by score, then as they were."""
+    h = ranked(facts(spark, folder), ["project"], [F.desc("salience"), F.col("fact_id")], 20, "place")
+    text = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("subject", "predicate", "object", "temporal")])
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("question"), F.lit(q).alias("q")) for i, q in enumerate(_ASKED)]))
+    s = h.select("project", "fact_id", "place", text.alias("t"), asked.alias("a")).select("project", "fact_id", "place", "a.question", tx.temporal_score(F.col("a.q"), F.col("t")).alias("score"))
+    return ranked(s, ["question", "project"], [F.desc("score"), F.col("place")]).select("question", "project", "fact_id", "score", "rank")
 
 
 @R.add("session_windows", """
@@ -407,7 +444,11 @@ def fact_char_pack(spark: SparkSession, folder: str) -> DataFrame:
     return s.filter((F.col("before") + F.col("n") <= 600) | (F.col("before") == 0)).select("project", "fact_id", (F.col("before") + F.col("n")).alias("chars"))
 
 
-@R.add("skip_pack")
+@R.add("skip_pack", O.replace("WITH o", "WITH RECURSIVE o") + f"""
+, z AS (SELECT project, id, {_SIZE} AS size, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id DESC) AS rank FROM o WHERE deleted_at IS NULL),
+g AS (SELECT *, CASE WHEN size <= 1000 THEN 1000 - size ELSE 1000 END AS room, size <= 1000 AS taken FROM z WHERE rank = 1
+ UNION ALL SELECT z.*, CASE WHEN z.size <= g.room THEN g.room - z.size ELSE g.room END, z.size <= g.room FROM g JOIN z ON z.project = g.project AND z.rank = g.rank + 1) SELECT project, id, size, rank FROM g WHERE taken
+""")
 def skip_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Each project's newest observations, taken greedily into 1 000 tokens."""
     from lorekeep.operators import context as cx

@@ -111,14 +111,18 @@ def entity_walk(spark: SparkSession, folder: str) -> DataFrame:
     return w.select("seed", "fact_id", F.round("boost", 6).alias("boost"))
 
 
-@R.add("mined_entities", """
-WITH o AS (SELECT DISTINCT id, content FROM observations WHERE content IS NOT NULL),
-t AS (SELECT id, list_concat(list_slice(regexp_extract_all(content, '`([^`\n]{1,64})`', 1), 1, 12), list_slice(regexp_extract_all(content, '([A-Za-z0-9_]+(?:/[A-Za-z0-9_]+)+\\.[a-z]{1,6})', 1), 1, 12)) AS names FROM o),
-u AS (SELECT id, unnest(names) AS name, unnest(range(len(names))) AS pos FROM t), n AS (SELECT id, name, pos, lower(regexp_replace(name, '[^\\p{L}\\p{N}./_:]', '', 'g')) AS norm_name FROM u)
-SELECT id, norm_name, arg_min(name, pos) AS name, min(pos) AS pos FROM n WHERE norm_name <> '' GROUP BY 1, 2
-""")
+_ENDS = "(\\.rs|\\.ts|\\.py|\\.go|\\.js|\\.md|\\.toml|\\.yml|\\.yaml)$"
+_KEY = "lower(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}./_:]', '', 'g'))"
+MINED = f"""t AS (SELECT id, coalesce(title, '') || chr(10) || coalesce(content, '') AS x FROM o),
+n AS (SELECT id, list_slice(list_filter(regexp_extract_all(x, '`([^`]*)`', 1), lambda t: trim(t) <> '' AND length(t) <= 64), 1, 12) AS ticks, list_slice(list_filter(regexp_split_to_array(x, '\\s+'), lambda t: contains(t, '/') AND regexp_matches(t, '{_ENDS}')), 1, 12) AS paths FROM t),
+u AS (SELECT id, unnest(list_concat(ticks, paths)) AS name, unnest(range(len(ticks) + len(paths))) AS pos, len(ticks) AS k FROM n),
+mined AS (SELECT id, {_KEY.format("name")} AS norm_name, arg_min(name, pos) AS name, arg_min(CASE WHEN pos >= k OR contains(name, '/') OR regexp_matches(name, '{_ENDS}') THEN 'file' ELSE 'concept' END, pos) AS kind, arg_min(CASE WHEN pos < k THEN 'backtick' ELSE 'token' END, pos) AS source, min(pos) AS pos FROM u WHERE {_KEY.format("name")} <> '' GROUP BY 1, 2)"""
+
+
+@R.add("mined_entities", "WITH o AS (SELECT DISTINCT id, title, content FROM observations), " + MINED + " SELECT id, norm_name, name, kind, source, pos FROM mined")
 def mined_entities(spark: SparkSession, folder: str) -> DataFrame:
-    return gr.mine_entities(observations(spark, folder), "id", "content").select("id", "norm_name", "name", "pos")
+    """The entities that each observation's text names."""
+    return gr.mine_entities(observations(spark, folder, wide=True), "id", "title", "content")
 
 
 @R.add("incident_edges", _E + " SELECT e.entity_id AS node, count(ed.dst) AS degree, coalesce(sum(ed.weight), 0)::BIGINT AS weight FROM entities e LEFT JOIN ed ON ed.src = e.entity_id GROUP BY 1")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorekeep.functions.text import FOLD_FROM, FOLD_TO
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,3 +30,7 @@ class Registry:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+#: SQL of the search tokens of a text.
+TOKENS = f"regexp_extract_all(translate(lower(coalesce({{0}}, '')), '{FOLD_FROM}', '{FOLD_TO}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+')"

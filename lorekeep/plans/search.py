@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import scores as sc
 from lorekeep.functions import text as tx
+from lorekeep.functions.times import CUES, inferred_range
 from lorekeep.operators import dense, fusion
 from lorekeep.operators import lexical as lx
 from lorekeep.operators.relational import ranked
-from lorekeep.plans.registry import Registry, table
+from lorekeep.plans.registry import TOKENS, Registry, table
 from lorekeep.sources.memory import facts, links, observations, queries
 
 R = Registry()
 WEIGHTS = {"title": 5.0, "content": 1.0, "topic_key": 2.0}
 NOW = "2026-01-01 00:00:00"
 
-_TOK = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
+_TOK = TOKENS
 
 
 def _phrase_sql(cols: dict[str, float], source: str, key: str, phrases: str, tail: str) -> str:
@@ -42,19 +43,18 @@ part AS (SELECT n.query, n.phrase, f.doc, greatest(1e-6, ln((s.n - d.n_hit + 0.5
 {tail}"""
 
 
-_WHOLE = "phrase AS (SELECT query, array_to_string(t, ' ') AS phrase FROM words WHERE len(t) BETWEEN 1 AND 8)"
+_WHOLE = "phrase AS (SELECT query, array_to_string(t, ' ') AS phrase FROM words WHERE len(t) > 0)"
 _TOP = """, total AS (SELECT query, doc, sum(score) AS score FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM total)
 SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
 _LIVE = "SELECT * FROM (SELECT DISTINCT * FROM observations) WHERE deleted_at IS NULL"
-MOST_WORDS = 8
 
 
-def _corpus(spark: SparkSession, folder: str, cols: dict[str, float]) -> DataFrame:
-    return lx.tokenized(observations(spark, folder, live_only=True), "id", cols)
+def _live(spark: SparkSession, folder: str) -> DataFrame:
+    return observations(spark, folder, live_only=True, wide=True)
 
 
 def _phrases(spark: SparkSession, folder: str, tiered: bool = False) -> DataFrame:
-    return lx.phrase_table(queries(spark, folder), "query_id", "text", tiered).filter(F.col("words") <= MOST_WORDS)
+    return lx.phrase_table(queries(spark, folder), "query_id", "text", tiered)
 
 
 def _top(scored: DataFrame) -> DataFrame:
@@ -64,16 +64,13 @@ def _top(scored: DataFrame) -> DataFrame:
 @R.add("phrase_bm25_topk", _phrase_sql({"content": 1.0}, _LIVE, "id", _WHOLE, _TOP))
 def phrase_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The entity names as phrases in the notes' contents."""
-    cols = {"content": 1.0}
-    c = _corpus(spark, folder, cols)
-    return _top(lx.bm25(c, lx.phrase_hits(c, _phrases(spark, folder), cols, MOST_WORDS)))
+    return _top(lx.search(_live(spark, folder), "id", {"content": 1.0}, _phrases(spark, folder)))
 
 
 @R.add("weighted_bm25_topk", _phrase_sql(WEIGHTS, _LIVE, "id", _WHOLE, _TOP))
 def weighted_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The same over title, content and topic, weighted."""
-    c = _corpus(spark, folder, WEIGHTS)
-    return _top(lx.bm25(c, lx.phrase_hits(c, _phrases(spark, folder), WEIGHTS, MOST_WORDS)))
+    return _top(lx.search(_live(spark, folder), "id", WEIGHTS, _phrases(spark, folder)))
 
 
 _WORDS = "phrase AS (SELECT query, unnest(list_distinct(t)) AS phrase FROM words)"
@@ -84,47 +81,44 @@ need AS (SELECT query, count(*) AS n FROM phrase GROUP BY 1), kept AS (SELECT t.
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS rank FROM kept) SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""))
 def and_bm25_global(spark: SparkSession, folder: str) -> DataFrame:
     """Notes that hold every word of the query."""
-    cols = {"content": 1.0}
-    c = _corpus(spark, folder, cols)
     words = queries(spark, folder).select(F.col("query_id").alias("query"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("phrase"), F.lit(1).alias("words"))
     need = words.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-    scored = lx.bm25(c, lx.phrase_hits(c, words, cols, 1), bag=True).join(F.broadcast(need), "query").filter("met = n")
+    scored = lx.search(_live(spark, folder), "id", {"content": 1.0}, words, bag=True).join(F.broadcast(need), "query").filter("met = n")
     return _top(scored.select("query", "doc", "score"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
-_TIERS = f"""kept AS (SELECT query, list_filter(t, lambda x: length(x) >= 3 AND x NOT IN ({_STOP})) AS t FROM words),
-phrase AS (SELECT query, array_to_string(t, ' ') AS phrase FROM words WHERE len(t) BETWEEN 1 AND 8
- UNION SELECT query, t[i] || ' ' || t[i + 1] FROM (SELECT query, t, unnest(range(1, len(t))) AS i FROM kept) UNION SELECT query, unnest(t) FROM kept)"""
+_TIERS = f"""terms AS (SELECT entity_id AS query, list_filter(list_transform(list_filter(regexp_extract_all(name, '[\\p{{L}}\\p{{N}}'']+'), lambda x: strlen(x) >= 3), lambda x: lower(x)), lambda x: x NOT IN ({_STOP})) AS t FROM entities),
+raw AS (SELECT query, array_to_string(t, ' ') AS p FROM terms WHERE len(t) >= 2
+ UNION SELECT query, t[i] || ' ' || t[i + 1] FROM (SELECT query, t, unnest(range(1, len(t))) AS i FROM terms) UNION SELECT query, unnest(t) FROM terms),
+phrase AS (SELECT DISTINCT query, array_to_string({TOKENS.format("p")}, ' ') AS phrase FROM raw WHERE len({TOKENS.format("p")}) > 0)"""
+TIERED = {"title": 5.0, "content": 1.0, "type": 0.5, "scope": 0.5, "topic_key": 2.0}
 
 
-@R.add("tiered_or_bm25", _phrase_sql({"title": 5.0, "content": 1.0}, _LIVE, "id", _TIERS, _TOP))
+@R.add("tiered_or_bm25", _phrase_sql(TIERED, _LIVE, "id", _TIERS, _TOP))
 def tiered_or_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole phrase, word pairs or words, scores added."""
-    cols = {"title": 5.0, "content": 1.0}
-    c = _corpus(spark, folder, cols)
-    return _top(lx.bm25(c, lx.phrase_hits(c, _phrases(spark, folder, tiered=True), cols, MOST_WORDS)))
+    """All terms as a phrase, neighbouring terms or single terms, scores added."""
+    return _top(lx.search(_live(spark, folder), "id", TIERED, _phrases(spark, folder, tiered=True)))
 
 
 @R.add("fact_bm25_topk", _phrase_sql({"subject": 5.0, "predicate": 1.0, "object": 3.0, "temporal": 0.5}, "SELECT DISTINCT * FROM facts", "fact_id", _WHOLE, _TOP))
 def fact_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     cols = {"subject": 5.0, "predicate": 1.0, "object": 3.0, "temporal": 0.5}
-    c = lx.tokenized(facts(spark, folder), "fact_id", cols)
-    return _top(lx.bm25(c, lx.phrase_hits(c, _phrases(spark, folder), cols, MOST_WORDS)))
+    return _top(lx.search(facts(spark, folder), "fact_id", cols, _phrases(spark, folder)))
 
 
-@R.add("recognition_filter", """
-WITH q AS (SELECT entity_id AS query, unnest(list_filter(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+'), lambda x: length(x) >= 2)) AS tok FROM entities),
-f AS (SELECT DISTINCT fact_id, lower(coalesce(subject,'') || ' ' || coalesce(object,'')) AS blob FROM facts)
-SELECT query, count(DISTINCT fact_id) AS facts FROM q JOIN f ON contains(blob, tok) GROUP BY query
+@R.add("recognition_filter", f"""
+WITH q AS (SELECT entity_id AS query, unnest(list_filter({TOKENS.format("name")}, lambda x: length(x) >= 2)) AS tok FROM entities),
+f AS (SELECT id, lower(coalesce(title,'') || ' ' || coalesce(content,'')) AS blob FROM ({_LIVE}))
+SELECT query, count(DISTINCT id) AS notes FROM q JOIN f ON contains(blob, tok) GROUP BY query
 """)
 def recognition_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts whose text contains any token of a query as a substring: the 480 fixed queries travel to the facts as one array."""
-    q = queries(spark, folder).select("query_id", F.filter(tx.tokens(F.col("text")), lambda x: F.length(x) >= 2).alias("toks"))
-    packed = q.agg(F.collect_list(F.struct("query_id", "toks")).alias("qs"))
-    f = facts(spark, folder).select("fact_id", F.lower(F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("object", F.lit("")))).alias("blob"))
-    hit = f.join(F.broadcast(packed)).select("fact_id", F.explode(F.filter("qs", lambda x: F.exists(x["toks"], lambda t: F.contains(F.col("blob"), t)))).alias("x"))
-    return hit.groupBy(F.col("x.query_id").alias("query")).agg(F.countDistinct("fact_id").alias("facts"))
+    """Notes whose title and content contain any token of a query as a substring: each distinct token of the fixed entities is looked for once a note."""
+    q = queries(spark, folder).select(F.col("query_id").alias("query"), F.explode(F.array_distinct(F.filter(tx.tokens(F.col("text")), lambda x: F.length(x) >= 2))).alias("token"))
+    toks = [r["token"] for r in q.select("token").distinct().collect()]  # words of a fixed table
+    o = _live(spark, folder).select("id", F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))).alias("blob"))
+    hit = o.select("id", F.explode(F.filter(F.array(*[F.lit(t) for t in toks]), lambda t: F.contains(F.col("blob"), t))).alias("token"))
+    return hit.join(F.broadcast(q), "token").groupBy("query").agg(F.countDistinct("id").alias("notes"))
 
 
 # dense -------------------------------------------------------------------------
@@ -162,13 +156,15 @@ def knn_per_project(spark: SparkSession, folder: str) -> DataFrame:
 
 _QUANT = _VEC.replace("WITH v AS (", "WITH v0 AS (") .replace(", q AS (SELECT id AS query, vec FROM v WHERE id % 50 = 0)", "") + """,
 s AS (SELECT id, label, vec, greatest(1e-9, list_max(list_transform(vec, lambda x: abs(x)))) AS scale FROM v0),
-v AS (SELECT id, label, vec AS full_vec, list_transform(vec, lambda x: greatest(-128, least(127, round(x * 127 / scale)))) AS vec FROM s), q AS (SELECT id AS query, vec, full_vec FROM v WHERE id % 50 = 0)"""
+v AS (SELECT id, label, vec AS full_vec, list_transform(vec, lambda x: greatest(-128, least(127, round(x * 127 / scale)))) AS vec FROM s),
+q AS (SELECT id AS query, list_transform(full_vec, lambda x: greatest(-128, least(127, round(x * 127 / 1.0)))) AS vec, full_vec FROM v WHERE id % 50 = 0)"""
 
 
 def _quantized(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    v, _ = _vectors(spark, folder)
+    """Rows by their own scale, queries by scale 1."""
+    v, q = _vectors(spark, folder)
     z = v.select("id", dense.quantize(F.col("vec"), dense.scale_of(F.col("vec"))).cast("array<double>").alias("vec"))
-    return z, z.filter("id % 50 = 0").select(F.col("id").alias("query"), "vec")
+    return z, q.select("query", dense.quantize(F.col("vec"), F.lit(1.0)).cast("array<double>").alias("vec"))
 
 
 @R.add("knn_int8", _QUANT + """, d AS (SELECT q.query, v.id, round(1 - list_cosine_similarity(q.vec, v.vec), 9) AS distance FROM q CROSS JOIN v),
@@ -226,16 +222,14 @@ p AS (SELECT t.query, t.doc, t.score, CASE WHEN n <= 3 THEN 5.0 WHEN n <= 7 THEN
 SELECT query, doc, round(1 / (1 + exp(-s * (score - m))), 6) AS weight FROM p"""))
 def adaptive_sigmoid(spark: SparkSession, folder: str) -> DataFrame:
     """Phrase scores brought to 0..1 by query length."""
-    cols = {"content": 1.0}
-    c = _corpus(spark, folder, cols)
-    scored = lx.bm25(c, lx.phrase_hits(c, _phrases(spark, folder), cols, MOST_WORDS))
+    scored = lx.search(_live(spark, folder), "id", {"content": 1.0}, _phrases(spark, folder))
     n = queries(spark, folder).select(F.col("query_id").alias("query"), F.size(tx.tokens(F.col("text"))).alias("n"))
     return scored.join(F.broadcast(n), "query").select("query", "doc", F.round(sc.adaptive_sigmoid(F.col("score"), F.col("n")), 6).alias("weight"))
 
 
 @R.add("salience_decay", """
 WITH o AS (SELECT DISTINCT * FROM observations WHERE deleted_at IS NULL),
-s AS (SELECT id, least(1.2, greatest(0.3, CASE type WHEN 'decision' THEN 1.0 WHEN 'policy' THEN 1.0 WHEN 'fix' THEN 0.85 WHEN 'bugfix' THEN 0.85 WHEN 'pattern' THEN 0.85 WHEN 'preference' THEN 0.75 WHEN 'fact' THEN 0.7 ELSE 0.6 END
+s AS (SELECT id, least(1.2, greatest(0.3, CASE type WHEN 'decision' THEN 1.0 WHEN 'policy' THEN 1.0 WHEN 'fix' THEN 0.85 WHEN 'pattern' THEN 0.85 WHEN 'preference' THEN 0.75 WHEN 'fact' THEN 0.7 ELSE 0.6 END
  * CASE verify_state WHEN 'verified' THEN 1.1 WHEN 'stale' THEN 0.7 WHEN 'invalidated' THEN 0.5 WHEN 'unprovable' THEN 0.5 ELSE 1.0 END)) AS salience,
  exp(-0.005 * greatest(0, (epoch(TIMESTAMP '2026-01-01') - epoch(created_at)) / 86400.0)) AS decay FROM o)
 SELECT id, round(salience, 6) AS salience, round(decay, 6) AS decay, round(salience * decay, 6) AS weight FROM s
@@ -269,48 +263,56 @@ def ambiguity_gate(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("query", F.round("gap", 6).alias("gap"), (F.col("gap") < 0.15).alias("ambiguous"))
 
 
-@R.add("local_rerank", _phrase_sql({"content": 1.0}, _LIVE, "id", _WHOLE, """, pair AS (SELECT DISTINCT query, doc FROM part), b AS (SELECT p.query, p.doc, list_filter(list_distinct(w.t), lambda x: length(x) >= 2) AS q, list_distinct(regexp_extract_all(lower(coalesce(o.title, '')), '[\\p{L}\\p{N}]+')) AS ti,
- list_distinct(regexp_extract_all(lower(coalesce(o.content, '')), '[\\p{L}\\p{N}]+')) AS bo, strlen(coalesce(o.content, '')) AS bytes FROM pair p JOIN words w ON w.query = p.query JOIN src o ON o.id = p.doc)
+_RERANK = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) >= 2))"
+
+
+@R.add("local_rerank", _phrase_sql({"content": 1.0}, _LIVE, "id", _WHOLE, f""", pair AS (SELECT DISTINCT query, doc FROM part), b AS (SELECT p.query, p.doc, {_RERANK.format("e.name")} AS q, {_RERANK.format("o.title")} AS ti,
+ {_RERANK.format("o.content")} AS bo, greatest(strlen(coalesce(o.title, '')) + strlen(coalesce(o.content, '')), 1) AS bytes FROM pair p JOIN entities e ON e.entity_id = p.query JOIN src o ON o.id = p.doc)
 SELECT query, doc, round(3.0 * len(list_intersect(q, ti)) / len(q) + 1.5 * len(list_intersect(q, bo)) / len(q) + 0.15 / (1 + ln(1 + bytes / 2000.0)), 6) AS score FROM b WHERE len(q) > 0"""))
 def local_rerank(spark: SparkSession, folder: str) -> DataFrame:
     """Phrase hits rescored by cover of title and body and by length."""
-    cols = {"content": 1.0}
-    o = observations(spark, folder, live_only=True)
-    c = lx.tokenized(o, "id", cols)
-    pair = lx.phrase_hits(c, _phrases(spark, folder), cols, MOST_WORDS).select("query", "doc").distinct()
-    q = queries(spark, folder).select(F.col("query_id").alias("query"), F.filter(F.array_distinct(tx.tokens(F.col("text"))), lambda x: F.length(x) >= 2).alias("q")).filter(F.size("q") > 0)
-    d = o.select(F.col("id").alias("doc"), tx.tokens(F.col("title")).alias("ti"), tx.tokens(F.col("content")).alias("bo"), F.octet_length(F.coalesce("content", F.lit(""))).alias("bytes"))
+    o = _live(spark, folder)
+    phrases = _phrases(spark, folder)
+    pair = lx.phrase_hits(lx.matched(o, "id", {"content": 1.0}, phrases), phrases).select("query", "doc").distinct()
+    q = queries(spark, folder).select(F.col("query_id").alias("query"), tx.rerank_terms(F.col("text")).alias("q")).filter(F.size("q") > 0)
+    bytes_ = F.greatest(F.octet_length(F.coalesce("title", F.lit(""))) + F.octet_length(F.coalesce("content", F.lit(""))), F.lit(1))
+    d = o.select(F.col("id").alias("doc"), tx.rerank_terms(F.col("title")).alias("ti"), tx.rerank_terms(F.col("content")).alias("bo"), bytes_.alias("bytes"))
     j = pair.join(F.broadcast(q), "query").join(d, "doc")
     cover = lambda c: F.size(F.array_intersect("q", c)) / F.size("q")
     return j.select("query", "doc", F.round(sc.rerank_features(cover("ti"), cover("bo"), F.col("bytes")), 6).alias("score"))
 
 
-@R.add("query_tier", """
-WITH q AS (SELECT entity_id AS query, name, len(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+')) AS n FROM entities)
-SELECT query, CASE WHEN name IS NULL OR trim(name) = '' THEN 'easy' WHEN contains(name, '::') OR n > 5 OR contains(lower(name), ' and ') THEN 'hard' WHEN n <= 3 THEN 'easy' ELSE 'normal' END AS tier FROM q
+# Fixed questions that the entities' names are put into, so that every rule of the router is met.
+QUESTIONS = ["%s", "how does %s relate to it", "what is the current state of %s", "`%s` and `b/c.rs`", "what changed in %s last week", "compare %s", "see a/b.py for %s"]
+_ENDS = "(\\.rs|\\.ts|\\.py|\\.go|\\.js|\\.md|\\.toml|\\.yml|\\.yaml)$"
+ASKED = "asked AS (SELECT e.entity_id AS query, t.i AS form, replace(t.q, '%s', e.name) AS text FROM entities e CROSS JOIN (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS)) + ") t(i, q))"
+NAMED = f"""list_slice(list_filter(n, lambda x, i: list_position(n, x) = i), 1, 3) FROM (SELECT *, list_filter(list_concat(list_filter(regexp_extract_all(text, '`([^`]*)`', 1), lambda t: trim(t) <> '' AND length(t) <= 64),
+ list_filter(regexp_split_to_array(text, '\\s+'), lambda t: contains(t, '/') AND regexp_matches(t, '{_ENDS}'))), lambda t: regexp_matches(t, '[\\p{{L}}\\p{{N}}./_:]')) AS n FROM asked)"""
+
+
+def asked(spark: SparkSession, folder: str) -> DataFrame:
+    """(query, form, text): each entity's name in each of the questions."""
+    forms = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("form"), F.lit(q).alias("q")) for i, q in enumerate(QUESTIONS)]))
+    q = queries(spark, folder).select(F.col("query_id").alias("query"), "text", forms.alias("f"))
+    return q.select("query", "f.form", F.replace("f.q", F.lit("%s"), "text").alias("text"))
+
+
+@R.add("query_names", f"WITH {ASKED}, x AS (SELECT query, form, {NAMED.replace(' FROM (', ' AS names FROM (', 1)}) SELECT query, form, array_to_string(names, '|') AS names FROM x")
+def query_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The names that a question mentions, three at most."""
+    return asked(spark, folder).select("query", "form", F.array_join(tx.query_entities(F.col("text")), "|").alias("names"))
+
+
+_HOPS = " OR ".join(f"contains(lower(text), '{h}')" for h in tx.MULTI_HOP)
+_CUES = "|".join(CUES)
+
+
+@R.add("query_tier", f"""
+WITH {ASKED}, x AS (SELECT query, form, text, len(names) AS named FROM (SELECT query, form, text, {NAMED.replace(' FROM (', ' AS names FROM (', 1)}))
+SELECT query, form, CASE WHEN trim(text) = '' THEN 'easy' WHEN regexp_matches(lower(text), '{_CUES}') OR regexp_matches(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR {_HOPS} OR named >= 2
+  OR length(text) - length(replace(text, '`', '')) >= 2 OR contains(text, '::') THEN 'hard' WHEN len(regexp_split_to_array(trim(text), '\\s+')) <= 3 AND named <= 1 THEN 'easy' ELSE 'normal' END AS tier FROM x
 """)
 def query_tier(spark: SparkSession, folder: str) -> DataFrame:
-    q, n = F.col("text"), F.size(tx.tokens(F.col("text")))
-    hard = F.contains(q, F.lit("::")) | (n > 5) | F.contains(F.lower(q), F.lit(" and "))
-    tier = F.when(q.isNull() | (F.trim(q) == ""), "easy").when(hard, "hard").when(n <= 3, "easy").otherwise("normal")
-    return queries(spark, folder).select(F.col("query_id").alias("query"), tier.alias("tier"))
-
-
-@R.add("hybrid_scores", _phrase_sql({"content": 1.0}, _LIVE, "id", _WHOLE, """, total AS (SELECT query, doc AS id, sum(score) AS score FROM part GROUP BY 1, 2),
-lex AS (SELECT t.query, t.id, 1 / (1 + exp(-CASE WHEN len(w.t) <= 3 THEN 0.7 ELSE 0.6 END * (t.score - CASE WHEN len(w.t) <= 3 THEN 5.0 ELSE 8.0 END))) AS s FROM total t JOIN words w ON w.query = t.query),
-m AS (SELECT DISTINCT l.entity_id AS query, f.evidence_obs_id AS id FROM entity_links l JOIN facts f ON f.fact_id = l.fact_id WHERE f.evidence_obs_id IS NOT NULL),
-j AS (SELECT coalesce(lex.query, m.query) AS query, coalesce(lex.id, m.id) AS id, coalesce(s, 0) AS lexical, CASE WHEN m.id IS NULL THEN 0.0 ELSE 0.75 END AS boost FROM lex FULL JOIN m ON m.query = lex.query AND m.id = lex.id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(lexical + boost, 9) DESC, id) AS rank FROM j) SELECT query, id, round(lexical + boost, 6)::DOUBLE AS score, rank FROM r WHERE rank <= 10"""))
-def hybrid_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Phrase lane and entity lane added; a lane that lacks a note gives 0."""
-    cols = {"content": 1.0}
-    c = _corpus(spark, folder, cols)
-    n = queries(spark, folder).select(F.col("query_id").alias("query"), F.size(tx.tokens(F.col("text"))).alias("n"))
-    lex = lx.bm25(c, lx.phrase_hits(c, _phrases(spark, folder), cols, MOST_WORDS)).join(F.broadcast(n), "query")
-    lex = lex.select("query", F.col("doc").alias("id"), sc.adaptive_sigmoid(F.col("score"), F.col("n")).alias("lexical"))
-    f = facts(spark, folder).filter("evidence_obs_id IS NOT NULL").select("fact_id", F.col("evidence_obs_id").alias("id"))
-    boost = links(spark, folder).join(f, "fact_id").select(F.col("entity_id").alias("query"), "id").distinct().withColumn("boost", F.lit(0.75))
-    none = spark.createDataFrame([], "query long, id long, distance double")
-    s = fusion.score_map(lex, none, boost).withColumn("score", F.col("lexical") + F.col("dense") + F.col("boost"))
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
-    return s.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 10").select("query", "id", F.round("score", 6).alias("score"), "rank")
+    """How much work a question needs."""
+    temporal = inferred_range(F.col("text"), F.to_timestamp_ntz(F.lit(NOW))).isNotNull()
+    return asked(spark, folder).select("query", "form", tx.query_tier(F.col("text"), temporal).alias("tier"))

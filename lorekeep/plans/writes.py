@@ -12,7 +12,7 @@ from lorekeep.operators import dense
 from lorekeep.operators import evaluate as ev
 from lorekeep.operators import memory as mem
 from lorekeep.operators.names import similar_names
-from lorekeep.plans.registry import Registry, table
+from lorekeep.plans.registry import TOKENS, Registry, table
 from lorekeep.sources.memory import facts, observations
 
 R = Registry()
@@ -21,21 +21,21 @@ O = "WITH o AS (SELECT DISTINCT * FROM observations) "  # noqa: E741
 
 @R.add("topic_upsert", O + """
 SELECT topic_key, scope, count(*) AS revision_count, arg_max(content, (created_at, id)) AS content, min(created_at) AS created_at, arg_max(id, (created_at, id)) AS id
-FROM o WHERE topic_key IS NOT NULL GROUP BY 1, 2
+FROM o WHERE topic_key IS NOT NULL AND deleted_at IS NULL GROUP BY 1, 2
 """)
 def topic_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    return mem.topic_upsert(observations(spark, folder))
+    return mem.topic_upsert(observations(spark, folder, live_only=True))
 
 
 @R.add("dedupe_hash", """
-WITH RECURSIVE o AS (SELECT DISTINCT id, normalized_hash AS h, created_at AS t FROM observations),
+WITH RECURSIVE o AS (SELECT DISTINCT id, normalized_hash AS h, created_at AS t FROM observations WHERE deleted_at IS NULL),
 r AS (SELECT h, t, id, row_number() OVER (PARTITION BY h ORDER BY t, id) AS n FROM o WHERE h IS NOT NULL),
 f AS (SELECT h, t, id, n, t AS t0, id AS first_id FROM r WHERE n = 1
  UNION ALL SELECT r.h, r.t, r.id, r.n, CASE WHEN r.t <= f.t0 + INTERVAL 30 DAY THEN f.t0 ELSE r.t END, CASE WHEN r.t <= f.t0 + INTERVAL 30 DAY THEN f.first_id ELSE r.id END FROM f JOIN r ON r.h = f.h AND r.n = f.n + 1)
 SELECT id, first_id, id <> first_id AS duplicate FROM f UNION ALL SELECT id, id, false FROM o WHERE h IS NULL
 """)
 def dedupe_hash(spark: SparkSession, folder: str) -> DataFrame:
-    return mem.window_dedupe(observations(spark, folder), "normalized_hash", "created_at", "id")
+    return mem.window_dedupe(observations(spark, folder, live_only=True), "normalized_hash", "created_at", "id")
 
 
 @R.add("supersede_titles", O + """
@@ -47,7 +47,7 @@ def supersede_titles(spark: SparkSession, folder: str) -> DataFrame:
     return mem.supersede_next(o, ["scope", "type", "title"], ["created_at", "id"], "id").select("id", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"))
 
 
-_F = "WITH f AS (SELECT DISTINCT * FROM facts), k AS (SELECT fact_id, project, lower(subject) AS s, lower(predicate) AS p, object, extracted_at AS t, salience FROM f) "
+_F = "WITH f AS (SELECT DISTINCT * FROM facts), k AS (SELECT fact_id, project, lower(trim(subject)) AS s, lower(trim(predicate)) AS p, lower(trim(object)) AS object, extracted_at AS t, salience FROM f) "
 
 
 @R.add("fact_supersede", _F + """
@@ -56,7 +56,7 @@ FROM k a
 """)
 def fact_supersede(spark: SparkSession, folder: str) -> DataFrame:
     """Facts superseded by the first later fact of the same subject and predicate with another object (-1: none)."""
-    f = facts(spark, folder).select("fact_id", "project", F.lower("subject").alias("s"), F.lower("predicate").alias("p"), "object", "extracted_at")
+    f = facts(spark, folder).select("fact_id", "project", *[F.lower(F.trim(c)).alias(a) for c, a in (("subject", "s"), ("predicate", "p"), ("object", "object"))], "extracted_at")
     out = mem.supersede_on_change(f, ["project", "s", "p"], ["extracted_at", "fact_id"], "object", "fact_id")
     return out.select("fact_id", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"))
 
@@ -65,7 +65,7 @@ def fact_supersede(spark: SparkSession, folder: str) -> DataFrame:
 , r AS (SELECT *, row_number() OVER (PARTITION BY project, s, p ORDER BY salience DESC, fact_id) AS rn FROM k) SELECT fact_id, project, s AS subject, p AS predicate, salience FROM r WHERE rn = 1
 """)
 def canonical_fact(spark: SparkSession, folder: str) -> DataFrame:
-    f = facts(spark, folder).groupBy("project", F.lower("subject").alias("subject"), F.lower("predicate").alias("predicate"))
+    f = facts(spark, folder).groupBy("project", F.lower(F.trim("subject")).alias("subject"), F.lower(F.trim("predicate")).alias("predicate"))
     return f.agg(F.max_by("fact_id", F.struct(F.col("salience"), -F.col("fact_id"))).alias("fact_id"), F.max("salience").alias("salience"))
 
 
@@ -107,28 +107,26 @@ def job_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @R.add("dream_duplicates", O + """
-, g AS (SELECT id, first_value(id) OVER (PARTITION BY normalized_hash ORDER BY updated_at DESC, id DESC) AS keep_id FROM o WHERE normalized_hash IS NOT NULL AND deleted_at IS NULL)
-SELECT keep_id, id AS drop_id FROM g WHERE id <> keep_id
+, g AS (SELECT id, first_value(id) OVER (PARTITION BY type, scope, normalized_hash ORDER BY created_at DESC, id DESC) AS keep_id FROM o WHERE normalized_hash <> '' AND deleted_at IS NULL)
+SELECT keep_id, id AS drop_id, 'duplicate' AS kind, 1.0::DOUBLE AS confidence FROM g WHERE id <> keep_id
 """)
 def dream_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    """Live observations of equal content hash: the newest is kept; one row a duplicate, not a pair of all."""
-    o = observations(spark, folder, live_only=True).filter("normalized_hash IS NOT NULL").select("normalized_hash", "id", "updated_at")
-    k = o.groupBy("normalized_hash").agg(F.max_by("id", F.struct("updated_at", "id")).alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return o.join(k, "normalized_hash").filter("id <> keep_id").select("keep_id", F.col("id").alias("drop_id"))
-
-
-_TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+')"
+    """Live observations of equal type, scope and content hash: the newest is kept; one row a duplicate, not a pair of all."""
+    same = ["type", "scope", "normalized_hash"]
+    o = observations(spark, folder, live_only=True).filter("normalized_hash <> ''").select(*same, "id", "created_at")
+    k = o.groupBy(*same).agg(F.max_by("id", F.struct("created_at", "id")).alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return o.join(k, same).filter("id <> keep_id").select("keep_id", F.col("id").alias("drop_id"), F.lit("duplicate").alias("kind"), F.lit(1.0).alias("confidence"))
 
 
 @R.add("dream_supersedes", O + f"""
-, t AS (SELECT id, type, scope, created_at, nullif(normalized_hash, '') AS h, length(trim(title)) AS n, {_TOKENS.format("title")} AS t, ' ' || array_to_string({_TOKENS.format("title")}, ' ') || ' ' AS ti, ' ' || array_to_string({_TOKENS.format("content")}, ' ') || ' ' AS co FROM o WHERE deleted_at IS NULL),
+, t AS (SELECT id, type, scope, created_at, nullif(normalized_hash, '') AS h, length(trim(title)) AS n, {TOKENS.format("title")} AS t, ' ' || array_to_string({TOKENS.format("title")}, ' ') || ' ' AS ti, ' ' || array_to_string({TOKENS.format("content")}, ' ') || ' ' AS co FROM o WHERE deleted_at IS NULL),
 j AS (SELECT a.id AS a, b.id AS b, (a.created_at, a.id) > (b.created_at, b.id) AS newer FROM t a JOIN t b ON b.type = a.type AND b.scope = a.scope AND b.id <> a.id WHERE a.type <> 'note' AND a.n >= 8 AND len(a.t) > 0 AND (contains(b.ti, a.ti) OR contains(b.co, a.ti)) AND NOT coalesce(a.h = b.h, false)
  AND 2.0 * len(list_intersect(list_distinct(a.t), list_distinct(b.t))) / (len(list_distinct(a.t)) + len(list_distinct(b.t))) >= 0.55)
 SELECT DISTINCT CASE WHEN newer THEN a ELSE b END AS keep_id, CASE WHEN newer THEN b ELSE a END AS drop_id, 'supersede' AS kind, 0.6::DOUBLE AS confidence FROM j
 """)
 def dream_supersedes(spark: SparkSession, folder: str) -> DataFrame:
     """The title half of the consolidation scan: live observations whose titles overlap; ``dream_duplicates`` is the other half."""
-    return mem.title_supersedes(observations(spark, folder, live_only=True)).select("keep_id", "drop_id", F.lit("supersede").alias("kind"), F.lit(0.6).alias("confidence"))
+    return mem.title_supersedes(observations(spark, folder, live_only=True, wide=True)).select("keep_id", "drop_id", F.lit("supersede").alias("kind"), F.lit(0.6).alias("confidence"))
 
 
 # context -----------------------------------------------------------------------
@@ -167,7 +165,22 @@ def evidence_window(spark: SparkSession, folder: str) -> DataFrame:
     return cx.evidence_window(seeds, o.select("id", "session_id"), "id", "session_id", 3)
 
 
-@R.add("slot_pack")
+_SLOTS = f"""
+WITH o AS (SELECT DISTINCT * FROM observations WHERE deleted_at IS NULL),
+z AS (SELECT project, id, CASE WHEN type IN ('decision', 'policy') THEN 0 WHEN topic_key IS NOT NULL THEN 1 ELSE 2 END AS slot, {_SIZE} AS size, created_at FROM o),
+c AS (SELECT *, row_number() OVER w AS n, sum(size) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM z WINDOW w AS (PARTITION BY project, slot ORDER BY created_at DESC, id DESC)),
+p AS (SELECT DISTINCT project FROM z)"""
+_SPARE = {0: "700", 1: "700 + greatest(700 - t0, 0)", 2: "600 + greatest(700 + greatest(700 - t0, 0) - t1, 0)"}
+_USED = {0: "0", 1: "t0", 2: "t0 + t1"}
+for _s in (0, 1, 2):
+    _room, _prev = f"greatest(1, least({_SPARE[_s]}, 2000 - ({_USED[_s]})))", f"p{_s - 1}" if _s else "p"
+    # the longest prefix that fits the slot; else its first row, if the whole budget has room for it
+    _fits = f"coalesce((SELECT max(upto) FROM c WHERE c.project = q.project AND slot = {_s} AND upto <= {_room}), (SELECT max(size) FROM c WHERE c.project = q.project AND slot = {_s} AND n = 1 AND size <= 2000 - ({_USED[_s]})), 0)"
+    _SLOTS += f", p{_s} AS (SELECT q.*, {_fits} AS t{_s} FROM {_prev} q)"
+_SLOTS += " SELECT c.project, c.id, c.slot, c.size, c.rank FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id DESC) AS rank FROM c) c JOIN p2 ON p2.project = c.project WHERE upto <= CASE slot WHEN 0 THEN t0 WHEN 1 THEN t1 ELSE t2 END"
+
+
+@R.add("slot_pack", _SLOTS)
 def slot_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Each project's newest observations in slots of a 2 000 token budget."""
     slot = F.when(F.col("type").isin("decision", "policy"), 0).when(F.col("topic_key").isNotNull(), 1).otherwise(2)
@@ -294,17 +307,27 @@ def name_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return similar_names(p, "name", 0.85)
 
 
-@R.add("passive_capture", """
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
-h AS (SELECT *, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM l)
-SELECT doc_id, block::BIGINT AS block, count(*) AS bullets, sum(length(trim(line[3:])))::BIGINT AS chars FROM h WHERE block > 0 AND starts_with(line, '- ') GROUP BY 1, 2
+_HEADINGS = "key learnings|open points|what changed|outcome"
+# Fixed texts, as no document has a list below such a heading.
+_CAPTURED = ["## Key Learnings:\n- one\n  * two \n3. three\nplain\n- one\n### Next\n- not this", "- before\n##  KEY learnings\r\n+ four\r\n4) five\n- \n## Key Learnings::\n- six", "# Key Learnings\n- no\n## Outcome\n\n - seven\n## Why\n- no"]
+_CAPTURED_SQL = " ".join(f"UNION ALL SELECT {-i - 1}, replace('" + t.replace("\r", "").replace("\n", "|") + "', '|', chr(10))" for i, t in enumerate(_CAPTURED))
+
+
+@R.add("passive_capture", f"""
+WITH docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL {_CAPTURED_SQL}),
+l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS x, unnest(range(len(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))))) AS n FROM docs),
+h AS (SELECT *, regexp_matches(x, '^\\s*#{{1,6}} ') AS closes, regexp_matches(lower(rtrim(x)), '^\\s*## \\s*({_HEADINGS})\\s*:*$') AS opens FROM l),
+b AS (SELECT *, last_value(CASE WHEN opens THEN 1 WHEN closes THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS inside, trim(regexp_extract(x, '^\\s*(?:[-*+] |[0-9]+[.)] )(.*)$', 1)) AS item FROM h),
+d AS (SELECT doc_id, item, min(n) AS n FROM b WHERE inside = 1 AND NOT closes AND item <> '' GROUP BY 1, 2)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos, md5(item) AS bullet FROM d
 """)
 def passive_capture(spark: SparkSession, folder: str) -> DataFrame:
-    """Bullets under each heading of a document."""
+    """List items under the headings that are worth keeping."""
     from lorekeep.sources.loaders import bullets
 
-    b = bullets(table(spark, folder, "documents"), "doc_id", "text")
-    return b.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("bullets"), F.sum(F.length("bullet")).alias("chars"))
+    d = table(spark, folder, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-i - 1, t) for i, t in enumerate(_CAPTURED)], "doc_id long, text string"))
+    b = bullets(d, "doc_id", "text", _HEADINGS)
+    return b.select("doc_id", "pos", F.md5("bullet").alias("bullet"))
 
 
 @R.add("beam_rows", """

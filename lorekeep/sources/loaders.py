@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONVERSATION = "sample_id string, conversation map<string, string>, qa array<struct<question: string, answer: string, category: int, evidence: array<string>>>"
@@ -44,12 +44,28 @@ def beam(spark: SparkSession, rows: int, persons: int = 20, properties: int = 4,
     return r.withColumn("content", F.concat(F.lit("person "), "person", F.lit(" has property "), "property", F.lit(" of value "), "value"))
 
 
-def bullets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, block, bullet): lines that begin with ``- `` below a line that begins with ``## ``; block counts the headings."""
-    lines = docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    w = Window.partitionBy(key).orderBy("pos")
-    b = lines.withColumn("block", F.count_if(F.startswith("line", F.lit("## "))).over(w))
-    return b.filter((F.col("block") > 0) & F.startswith("line", F.lit("- "))).select(key, "block", F.trim(F.substring("line", 3, 1_000_000_000)).alias("bullet"))
+def bullets(docs: DataFrame, key: str, text: str, heading: str = "key learnings") -> DataFrame:
+    """(key, pos, bullet): list items below ``## heading``, in any case and with or without a colon, up to the next heading of any level.
+
+    Items begin with -, *, + or a number, at any indentation; equal ones of a document
+    count once. ``heading`` is a regular expression. Lines are folded in place, so a
+    text never leaves its row. Null texts have no items.
+    """
+    lines = F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n")
+    opens = lambda x: F.rlike(F.lower(F.rtrim(x)), F.lit(rf"^\s*## \s*({heading})\s*:*$"))
+    closes = lambda x: F.rlike(x, F.lit(r"^\s*#{1,6} "))
+    item = lambda x: F.trim(F.regexp_extract(x, r"^\s*(?:[-*+] |[0-9]+[.)] )(.*)$", 1))
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("items"))
+
+    def step(acc: Column, x: Column) -> Column:
+        inside = F.when(opens(x), True).when(closes(x), False).otherwise(acc["inside"])
+        found = inside & ~closes(x) & (item(x) != "")
+        return F.struct(inside.alias("inside"), F.when(found, F.concat(acc["items"], F.array(item(x)))).otherwise(acc["items"]).alias("items"))
+
+    # only texts that have such a heading are folded
+    d = docs.filter(F.lower(text).rlike(rf"(?m)^\s*## \s*({heading})\s*:*\s*$"))
+    items = F.array_distinct(F.aggregate(lines, start, step, lambda acc: acc["items"]))
+    return d.select(key, F.posexplode(items).alias("pos", "bullet")).withColumn("pos", F.col("pos").cast("long"))
 
 
 def files(spark: SparkSession, path: str, endings: list[str], most_bytes: int = 262_144, most_chars: int = 50_000) -> DataFrame:

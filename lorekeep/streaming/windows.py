@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,19 +40,21 @@ def apply_stream(stream: DataFrame, target: BucketTable, checkpoint: str):
     return stream.writeStream.foreachBatch(lambda df, _: target.apply(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return the last result as a table."""
+def run_to_table(df: DataFrame, mode: str = "complete", keep_all: bool = False) -> DataFrame:
+    """Run a stream over all that is there and return the last result as a table, or with ``keep_all`` the results of all batches."""
     spark = df.sparkSession
     s = Scratch(spark, "stream")
-    last: list[DataFrame] = []
+    kept: list[DataFrame] = []
 
     def keep(batch: DataFrame, _: int) -> None:
         table = s.save(batch)
-        s.drop(*last)
-        last[:] = [table]
+        if not keep_all:
+            s.drop(*kept)
+            kept.clear()
+        kept.append(table)
 
     df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{s.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return last[0] if last else spark.createDataFrame([], df.schema)
+    return reduce(DataFrame.unionByName, kept) if kept else spark.createDataFrame([], df.schema)
 
 
 def hourly_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,16 +15,40 @@ def one(spark, expr, text):
     return spark.createDataFrame([(text,)], "t string").select(expr.alias("x")).first()[0]
 
 
-@pytest.mark.parametrize(("text", "want"), [("src/a.rs", ("src/a.rs", None, None, None)), ("src/a.rs:12", ("src/a.rs", None, 12, 12)), ("src/a.rs:12-20", ("src/a.rs", None, 12, 20)), ("src/a.rs#fold", ("src/a.rs", "fold", None, None))])
-def test_anchor_forms(spark, text, want):
+ANCHORS = [
+    ("src/a.rs", ("src/a.rs", None, None, None), "src/a.rs"), ("src/a.rs::run", ("src/a.rs", "run", None, None), "src/a.rs::run"), ("src/a.rs::run::12", ("src/a.rs", "run", 12, 12), "src/a.rs::run::12"),
+    (" src\\a.rs:12-40 ", ("src/a.rs", None, 12, 40), "src/a.rs:12-40"), ("src/a.rs::", ("src/a.rs", None, None, None), "src/a.rs"), ("src/a.rs:12", ("src/a.rs:12", None, None, None), "src/a.rs:12"),
+]
+
+
+@pytest.mark.parametrize(("text", "want", "canonical"), ANCHORS)
+def test_anchor_forms(spark, text, want, canonical):
     assert tuple(one(spark, tx.anchor(F.col("t")), text)) == want
+    assert one(spark, tx.anchor_text(tx.anchor(F.col("t"))), text) == canonical
+    assert one(spark, tx.anchor(F.col("t")), "  ") is None
+
+
+def test_symbols_and_digests(spark):
+    import hashlib
+
+    code = "import x\r\ndef run_all():\r\n    pass\r\n\r\ndef run():\r\n    a = 1\r\n    if a:\r\n        b()\r\nend = 2\r\n"
+    at = lambda name: one(spark, tx.symbol_lines(F.col("t"), F.lit(name)), code)
+    assert tuple(at("run")) == (5, 8) and tuple(at("run_all")) == (2, 4) and tuple(at("end")) == (9, 9) and at("nothing") is None
+    lines = code.replace("\r\n", "\n").split("\n")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    digest = lambda a: one(spark, tx.slice_digest(F.col("t"), tx.anchor(F.lit(a))), code)
+    assert digest("f:2-3") == sha("\n".join(lines[1:3])) and digest("f::run") == sha("\n".join(lines[4:8])) and digest("f") == sha("\n".join(lines)) and digest("f::no") == sha("\n".join(lines))
 
 
 def test_parsers(spark):
     assert one(spark, tx.sub_questions(F.col("t")), "1. Where is it?\n2) no\n3. Who owns the lane?\nWhat?") == ["Where is it?", "Who owns the lane?"]
     assert tuple(one(spark, tx.fact_line(F.col("t")), "lane - owns - the budget - all")) == ("lane", "owns", "the budget - all")
     assert tuple(one(spark, tx.fact_line(F.col("t")), "nothing here")) == (None, None, None)
-    assert one(spark, tx.project_name(F.col("t")), "  My_Project / One! ") == "my-project-one"
+    assert one(spark, tx.project_name(F.col("t")), "  My_Project / One! ") == "my-project--one"
+    assert [one(spark, tx.project_name(F.col("t")), x) for x in (".hidden", "a..b", "???", "-A-")] == [None, None, None, "-a-"]
+    assert [one(spark, tx.family(F.col("t")), x) for x in ("note", "learning", "bugfix", None)] == ["note", "learning", "general", "general"]
+    assert one(spark, tx.state_of(F.greatest(*[tx.state_rank(F.lit(x)) for x in ("stale", "unprovable", "invalidated")])), "") == "unprovable"
+    assert one(spark, tx.tokens(F.col("t")), "Café CAFE\u0301 naïve") == ["cafe", "cafe", "naive"]
     assert one(spark, tx.gold_rank(F.split("t", ","), F.lit("B")), "a,xbx,b") == 2
     assert one(spark, tx.gold_rank(F.split("t", ","), F.lit("q")), "a,b") is None
     assert one(spark, tx.preview(F.col("t"), 2, 5), "ab\ncde\nf") == "ab cd"
@@ -33,10 +57,35 @@ def test_parsers(spark):
     assert one(spark, tx.tolerant_array(F.col("t"), "a int"), None) == []
 
 
-@pytest.mark.parametrize(("text", "want"), [("on 2025-03-04", ("2025-03-04", "2025-03-04")), ("2025-02", ("2025-02-01", "2025-02-28")), ("in 2024 then", ("2024-01-01", "2024-01-01")), ("last week", ("2025-12-18", "2026-01-01")), ("soon", None), (None, None)])
+NOW = dt.datetime(2026, 1, 1, 9, 30)  # a Thursday
+RANGES = [
+    ("done yesterday", (dt.datetime(2025, 12, 31), dt.datetime(2025, 12, 31, 23, 59, 59))), ("today", (dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 1, 23, 59, 59))), ("last weekend", (dt.datetime(2025, 12, 27), dt.datetime(2025, 12, 28, 23, 59, 59))),
+    ("last week, not 2025-03-04", (NOW - dt.timedelta(14), NOW)), ("this week", (NOW - dt.timedelta(7), NOW)), ("last year", (NOW - dt.timedelta(730), NOW)), ("on 2025-02-30 or 2025-03-04", (dt.datetime(2025, 3, 4), dt.datetime(2025, 3, 4, 23, 59, 59))),
+    ("in 2024 then", (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1, 23, 59, 59))), ("two days ago", (NOW - dt.timedelta(90), NOW)), ("recently", None), ("2025-02", None), (None, None),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), RANGES)
 def test_inferred_ranges(spark, text, want):
-    got = one(spark, inferred_range(F.col("t"), F.lit("2026-01-01").cast("date")), text)
-    assert (got and (str(got["start"]), str(got["end"]))) == want
+    got = one(spark, inferred_range(F.col("t"), F.lit(NOW).cast("timestamp_ntz")), text)
+    assert (got and tuple(got)) == want
+
+
+TIERS = [("", "easy"), ("cold digest", "easy"), ("what is the state of it now", "normal"), ("how does it relate", "hard"), ("what changed last week", "hard"), ("`a` and `b/c.rs`", "hard"), ("see x::y", "hard"), ("`a`", "hard"), ("lane vs queue", "hard")]
+
+
+@pytest.mark.parametrize(("text", "want"), TIERS)
+def test_query_tiers(spark, text, want):
+    temporal = inferred_range(F.col("t"), F.lit(NOW).cast("timestamp_ntz")).isNotNull()
+    assert one(spark, tx.query_tier(F.col("t"), temporal), text) == want
+
+
+def test_questions_on_time(spark):
+    score = lambda q, hit: one(spark, tx.temporal_score(F.col("t"), F.lit(hit)), q)
+    assert score("what is the latest rule", "the most recent one") == 2 and score("what is the latest rule", "the first") == 0
+    assert score("before 2024", "earlier, in 2024") == 2 and score("before 2024", "earlier, in 2023") == -100 and score("which", "later") == 0
+    assert one(spark, tx.query_terms(F.col("t")), "What did O'Brien's LANE do in it?") == ["o'brien's", "lane"]
+    assert one(spark, tx.query_entities(F.col("t")), "`b` a/b.rs ` ` `c` x/y.py `b`") == ["b", "c", "a/b.rs"]
 
 
 def test_save_outcomes(spark):
@@ -81,9 +130,9 @@ def test_queries_are_named_once_and_have_twins():
     import __spark_entry__ as e
 
     q, s = e.queries(), e.oracle_sql()
-    assert set(s) <= set(q) and len(q) > 90
+    assert set(s) <= set(q) and len(q) > 140
     core = {k for k in q if not k.startswith("p")}
-    assert {k for k in core if k not in s} == {"slot_pack", "skip_pack"}
+    assert not {k for k in core if k not in s}
 
 
 def test_entry_runs(spark):

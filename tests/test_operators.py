@@ -63,8 +63,11 @@ def test_score_map_and_contradictions(spark):
     assert rows(fusion.contradictions(f, ["pr"], "s", "p", "o", "w", "id"), "id", "factor", "bonus") == [(1, 0.5, 0.25), (2, 0.5, 0.0), (3, 1.0, 0.0)]
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0])
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-def test_block_knn_equals_brute_force(spark, monkeypatch, metric):
+def test_block_knn_equals_brute_force(spark, monkeypatch, metric, sent):
+    """Queries sent to the corpus, and pairs of blocks."""
+    monkeypatch.setattr(dense, "QUERY_BYTES", sent)
     monkeypatch.setattr(dense, "CORPUS_BLOCK", 40)
     monkeypatch.setattr(dense, "QUERY_BLOCK", 7)
     x = np.random.default_rng(0).standard_normal((150, 8))
@@ -92,11 +95,17 @@ def test_int8_keeps_the_ten_nearest(spark):
 def test_phrases_and_bm25(spark):
     docs = spark.createDataFrame([(1, "the warm cache warm cache"), (2, "cache the warm"), (3, None), (4, "")], "id long, body string")
     q = spark.createDataFrame([(1, "Warm cache!"), (2, "the"), (3, "?")], "q long, text string")
-    c = lx.tokenized(docs, "id", {"body": 1.0})
-    hits = lx.phrase_hits(c, lx.phrase_table(q, "q", "text"), {"body": 1.0}, 8)
+    phrases = lx.phrase_table(q, "q", "text")
+    c = lx.matched(docs, "id", {"body": 1.0}, phrases)
+    hits = lx.phrase_hits(c, phrases)
     assert rows(hits, "query", "doc", "hits") == [(1, 1, 2.0), (2, 1, 1.0), (2, 2, 1.0)]
     assert {r["query"] for r in lx.bm25(c, hits).collect()} == {1, 2}
-    assert {p for _, p in rows(lx.phrase_table(spark.createDataFrame([(1, "fold the warm lane")], "q long, text string"), "q", "text", True), "query", "phrase")} == {"fold the warm lane", "fold warm", "warm lane", "fold", "warm", "lane"}
+    assert {p for _, p in rows(lx.phrase_table(spark.createDataFrame([(1, "fold the warm lane")], "q long, text string"), "q", "text", True), "query", "phrase")} == {"fold warm lane", "fold warm", "warm lane", "fold", "warm", "lane"}
+    assert rows(lx.phrase_table(spark.createDataFrame([(1, "what LANE"), (2, "it")], "q long, text string"), "q", "text", True)) == [(1, "lane", 1)]
+    long = " ".join(f"w{i}" for i in range(14))
+    many = lx.phrase_table(spark.createDataFrame([(1, long)], "q long, text string"), "q", "text")
+    one = spark.createDataFrame([(1, f"x {long} y"), (2, long[:-1])], "id long, body string")
+    assert rows(lx.search(one, "id", {"body": 1.0}, many), "query", "doc") == [(1, 1)]  # phrases of any length
 
 
 def test_graph_walks(spark):
@@ -109,8 +118,67 @@ def test_graph_walks(spark):
     assert b[2] == pytest.approx(0.65 * 0.9) and b[3] == pytest.approx(0.65 * 0.9 * 0.65 * 0.5 * 2)
     p = {n: s for n, s in rows(graph.personalized_pagerank(both.select("src", "dst", "weight"), seeds))}
     assert sum(p.values()) == pytest.approx(1) and p[1] > p[2] > p[3] > p[4]
-    d = spark.createDataFrame([(1, "see `Foo Bar` and src/a.rs, src/a.rs or SRC/A.rs"), (2, None)], "id long, t string")
-    assert rows(graph.mine_entities(d, "id", "t"), "id", "norm_name", "name") == [(1, "foobar", "Foo Bar"), (1, "src/a.rs", "src/a.rs")]
+    d = spark.createDataFrame([(1, "`Foo Bar`", "and src/a.rs `x/y` src/b.rs or SRC/A.rs", ["./src/a.rs::&run()", " "]), (2, None, None, None)], "id long, t string, c string, a array<string>")
+    got = rows(graph.mine_entities(d, "id", "t", "c", "a"), "pos", "norm_name", "name", "kind", "source")
+    assert got == [(0, "src/a.rs", "src/a.rs", "file", "anchor"), (1, "run", "run", "symbol", "anchor"), (2, "foobar", "Foo Bar", "concept", "backtick"), (3, "x/y", "x/y", "file", "backtick"), (5, "src/b.rs", "src/b.rs", "file", "token")]
+
+
+def test_paths_never_come_back(spark):
+    from lorekeep.operators import memory_graph as mg
+
+    e = graph.both_ways(spark.createDataFrame([(1, 2, 1.0, 1.0), (2, 3, 1.0, 1.0), (1, 3, 4.0, 0.1), (2, 4, 1.0, 0.2)], "src long, dst long, weight double, confidence double"))
+    seeds = spark.createDataFrame([(1,)], "node long")
+    p = {tuple(r["path"]): r["score"] for r in mg.path_walk(e, seeds, degree_cap=2).collect()}
+    assert set(p) == {(1,), (1, 2), (1, 3), (1, 2, 3)}  # 2 gives its two best edges; (1, 3, 2) is too weak for 2
+    assert p[(1, 2, 3)] == pytest.approx(0.65**2) and p[(1, 3)] == pytest.approx(0.65 * 0.1 * 2)
+    hits = mg.traversed(e.select("src", "dst", "weight", F.lit("co_occurs").alias("relation"), F.lit(7).cast("long").alias("observation_id")), seeds)
+    assert rows(hits, "hop", "weight") == [(1, 1.0), (1, 4.0), (2, 1.0), (2, 1.0)]
+    assert rows(mg.boosted_rank(hits, 1.0), "observation_id", "score", "rank") == [(7, 0.5 * 0.5 * 5 + 0.25 * 0.5 * 2, 1)]
+    nodes = spark.createDataFrame([("entity", "e:1", "Foo", 0.4, 1), ("entity", "e:1", "F oo", 0.2, 2)], "kind string, ref_key string, label string, confidence double, n long")
+    assert rows(mg.upsert_nodes(nodes, "n")) == [("entity", "e:1", "F oo", "foo", 0.4)]
+
+
+def test_rows_come_once_without_a_shuffle(spark, tmp_path):
+    from lorekeep.sources.memory import once
+
+    df = spark.createDataFrame([(1, "a", 1.5), (2, "b", None), (1, "a", 1.5), (3, None, 2.0), (3, None, 2.0), (3, None, 2.0), (4, "d", 0.0)], "id long, text string, first double")
+    df.repartition(3).write.parquet(f"file://{tmp_path}/t")
+    t = spark.read.parquet(f"file://{tmp_path}/t")
+    assert rows(once(t, "id")) == [(1, "a", 1.5), (2, "b", None), (3, None, 2.0), (4, "d", 0.0)]
+    assert rows(once(t.filter("text IS NOT NULL"), "id"), "id") == [(1,), (2,), (4,)]
+    assert "Exchange hashpartitioning" not in once(t, "id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_title_probe_and_verdicts(spark):
+    from lorekeep.operators import lifecycle as lc
+
+    day = lambda n: dt.datetime(2025, 1, n)
+    data = [(1, "decision", "team", "Use the warm lane now", day(1)), (2, "decision", "team", "the WARM lane", day(2)), (3, "note", "team", "the warm lane", day(3)), (4, "decision", "team", "the warm lane", day(4)), (5, "decision", "personal", "warm lane", day(5)), (6, "decision", "team", "?", day(6)), (7, "decision", None, "the warm lane", day(7)), (8, "note", "team", "warm", day(8))]
+    df = spark.createDataFrame(data, "id long, type string, scope string, title string, created_at timestamp_ntz")
+    assert rows(lc.title_probe(df)) == [(2, 1, "supersede"), (4, 2, "supersede"), (8, 3, "conflicts_with")]
+    assert lc.title_probe(df.limit(0)).count() == 0
+    texts = ['x {"action": "KEEP_NEW", "confidence": 0.9} y', '{"action": "keep_old"}', '{"action": "keep_both"}', '{"action": "synthesize", "statement": " s "}', '{"action": "other"}', "nothing", None]
+    v = spark.createDataFrame([(10 * i, 10 * i + 1, t) for i, t in enumerate(texts)], "old_id long, new_id long, t string").withColumn("v", lc.parse_verdict(F.col("t")))
+    assert [(r["v"] and tuple(r["v"])) for r in v.orderBy("old_id").collect()] == [("keep_new", "", 0.9), ("keep_old", "", 0.0), ("keep_both", "", 0.0), ("synthesize", "s", 0.0), None, None, None]
+    assert rows(lc.apply_verdicts(v.select("old_id", "new_id", "v.action"))) == [(0, True, 1), (11, True, 10), (30, False, None), (31, False, None)]
+
+
+def test_snapshots_keep_known_rows(spark):
+    from lorekeep.operators import lifecycle as lc
+
+    target = spark.createDataFrame([(5, "a"), (9, "b")], "id long, sync_id string")
+    source = spark.createDataFrame([(i, s) for i, s in enumerate(["b", "c", "a", "d", "e"])], "id long, sync_id string")
+    assert rows(lc.merge_snapshot(target, source, "id", "sync_id")) == [(0, 9, "kept"), (1, 10, "added"), (2, 5, "kept"), (3, 11, "added"), (4, 12, "added")]
+    assert lc.merge_snapshot(target.limit(0), source, "id", "sync_id").count() == 5 and lc.merge_snapshot(target, source.limit(0), "id", "sync_id").count() == 0
+
+
+def test_cursors_read_back(spark):
+    from lorekeep.plans.lifecycle import cursor_text, parse_cursor
+
+    df = spark.createDataFrame([(7, dt.datetime(2025, 1, 2, 3, 4, 5, 678))], "id long, at timestamp_ntz").withColumn("token", cursor_text(F.col("id"), F.col("at")))
+    assert tuple(df.select(parse_cursor(F.col("token"))).first()[0]) == (7, dt.datetime(2025, 1, 2, 3, 4, 5, 678))
+    bad = spark.createDataFrame([("???",), ("abc",), ("eyJ2ZXJzaW9uIjoyLCJsYXN0X2lkIjoxfQ",), (None,)], "token string")
+    assert [r[0] for r in bad.select(parse_cursor(F.col("token"))).collect()] == [None] * 4
 
 
 def test_dedupe_window_is_anchored(spark):
@@ -196,8 +264,8 @@ def test_loaders(spark, tmp_path):
     (src / "c.py").write_bytes(b"\x00x")
     (src / "d.py").write_text("")
     assert [r["text"] for r in loaders.files(spark, f"file://{src}", [".py"]).collect()] == ["x = 1"]
-    b = spark.createDataFrame([(1, "- no\n## H\n- a \ntext\n- b\n## I\n- c"), (2, None)], "id long, t string")
-    assert rows(loaders.bullets(b, "id", "t")) == [(1, 1, "a"), (1, 1, "b"), (1, 2, "c")]
+    b = spark.createDataFrame([(1, "- no\n## Key Learnings:\r\n- a \ntext\n  * b\n2) c\n- a\n# I\n- no\n## key learnings\n+ d"), (2, None), (3, "- x")], "id long, t string")
+    assert rows(loaders.bullets(b, "id", "t")) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (1, 3, "d")]
 
 
 def test_chunks_round_trip(spark, tmp_path):
