@@ -11,7 +11,7 @@ from lorekeep.llm.mixing import mix
 from lorekeep.llm.neardup import NearDuplicates
 from lorekeep.llm.packing import pack
 from lorekeep.llm.pii import find_personal, redact_personal
-from lorekeep.llm.skeleton import look_alike_classes, look_alike_pairs
+from lorekeep.llm.skeleton import look_alike_classes, look_alike_pairs, skeletons
 from lorekeep.llm.tokens import token_counts
 from lorekeep.plans.registry import Registry, table
 from lorekeep.scratch import Scratch
@@ -57,6 +57,12 @@ def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "class_id", (F.col("members") - F.col("same")).alias("links"))
 
 
+@R.add("p10_forms")
+def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text that is not blank in its one consistent form; texts that look alike have the same."""
+    return skeletons(table(spark, folder, "documents")).select("doc_id", F.col("skeleton").alias("form"))
+
+
 def sized_documents(spark: SparkSession, folder: str, label: str) -> DataFrame:
     """doc_id, source, tokens, chars of all documents, counted once and written."""
     counted = token_counts(table(spark, folder, "documents"), "doc_id", "text", ["source"])
@@ -117,12 +123,24 @@ def _near(spark: SparkSession, folder: str) -> NearDuplicates:
     return NearDuplicates(table(spark, folder, "observations"), "id", text, least=0.6)
 
 
-@R.add("p6_found")
+_SIMILAR = """
+WITH o AS (SELECT DISTINCT id, lower(coalesce(title, '') || ' ' || coalesce(content, '')) AS t FROM observations), w AS (SELECT id, regexp_extract_all(t, '[a-z0-9]+') AS w FROM o),
+k AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)), n AS (SELECT id, count(*) AS n FROM k GROUP BY 1),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS both_n FROM k a JOIN k b ON a.k = b.k AND a.id < b.id GROUP BY 1, 2),
+near AS (SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE both_n >= 0.6 * (x.n + y.n - both_n))
+"""
+
+
+@R.add("p6_found", _SIMILAR + "SELECT id_a, id_b FROM near")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _near(spark, folder).record_pairs()
 
 
-@R.add("p6_classes")
+@R.add("p6_classes", _SIMILAR + """
+, m AS (SELECT o.id, min(o.id) OVER (PARTITION BY t) AS class_key, count(*) OVER (PARTITION BY t) - 1 AS copies, coalesce(n.n, 0) AS n FROM o LEFT JOIN n ON n.id = o.id),
+e AS (SELECT DISTINCT a.class_key AS x, b.class_key AS y FROM near JOIN m a ON a.id = id_a JOIN m b ON b.id = id_b WHERE a.class_key <> b.class_key), l AS (SELECT v, count(*) AS links FROM (SELECT x AS v, y AS u FROM e UNION SELECT y, x FROM e) GROUP BY 1)
+SELECT m.id, m.class_key, m.copies, coalesce(l.links, 0) AS links FROM m LEFT JOIN l ON l.v = m.class_key WHERE m.n > 0 AND (m.copies > 0 OR l.links > 0)
+""")
 def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Each near-duplicate observation with its class of copies and its number of similar classes."""
     return _near(spark, folder).class_links().withColumnRenamed("key", "id")

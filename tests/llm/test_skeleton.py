@@ -3,7 +3,7 @@ import unicodedata
 import pytest
 from conftest import rows
 
-from lorekeep.llm.skeleton import LOOK_ALIKES, look_alike_classes, look_alike_pairs, skeleton, skeletons
+from lorekeep.llm.skeleton import LOOK_ALIKES, Prototypes, look_alike_classes, look_alike_pairs, published_look_alikes, skeleton, skeletons
 
 
 @pytest.mark.parametrize(("a", "b"), [
@@ -25,6 +25,23 @@ def test_table_is_stable():
         assert skeleton(skeleton(c)) == skeleton(c) and not unicodedata.normalize("NFKD", c).isascii()
 
 
+def test_published_classes_give_letters_of_the_same_case(spark):
+    known = published_look_alikes(spark)
+    assert len(known) > len(LOOK_ALIKES) + 100 and known.items() >= LOOK_ALIKES.items()
+    for c, to in known.items():
+        if c not in LOOK_ALIKES:
+            assert to.isascii() and to.isalpha() and (c.isupper() <= to.isupper()) and (c.islower() <= to.islower())
+    protos = Prototypes(known)
+    assert skeleton("\u13aa\u13be \u03c3ne", protos) == "GO one".replace("GO", skeleton("\u13aa\u13be", protos))  # Cherokee, Greek
+    assert [skeleton(x, protos) for x in ("l1I0O", "дом", "том", "straße")] == ["l1I0O", skeleton("дом", protos), skeleton("том", protos), "straße"]
+    assert skeleton("дом", protos) != skeleton("том", protos)
+
+
+def test_forms_of_all_texts(spark):
+    df = frame(spark, [(1, "abc"), (2, "аbс"), (3, None), (4, " "), (5, "\uff41bc\u200b")])
+    assert rows(skeletons(df), "doc_id", "skeleton") == [(1, "abc"), (2, "abc"), (5, "abc")]
+
+
 def frame(spark, texts):
     return spark.createDataFrame([(i, t, "x", 3) for i, t in texts], "doc_id long, text string, text_hash string, class_id int")
 
