@@ -14,6 +14,7 @@ import json
 import math
 import pkgutil
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -101,6 +102,24 @@ _LAST = re.compile(r"([^\W\d_]+)\W*$")
 _NEXT = re.compile(r"^\W*([^\W_]+)")
 
 
+# Words that say what kind of number follows, in several languages.
+_ID_WORDS = {"passport", "passeport", "pasaporte", "reisepass", "ausweis", "ausweisnummer", "ssn", "sin", "nino", "insurance", "national", "identity", "identité", "identidad", "tax", "taxpayer", "tin", "steuer", "steuernummer", "fiscal", "nif", "nie", "dni", "nir", "cpf", "aadhaar", "id", "nid"}
+_PHONE_WORDS = {"phone", "telephone", "tel", "telefon", "téléphone", "teléfono", "mobile", "mobil", "móvil", "cell", "fax", "call", "dial", "ring", "sms", "appeler", "rappeler", "llamar", "anrufen", "whatsapp"}
+_LABEL = re.compile(r"[^\W\d_]+")
+
+
+def _label(text: str, start: int) -> str:
+    """What kind of number the last label of the same clause announces: id, phone or none."""
+    clause = re.split(r"[.;\n,]", text[max(0, start - 40) : start])[-1]
+    for w in reversed(_LABEL.findall(clause)):
+        low = w.lower()
+        if low in _ID_WORDS:
+            return "id"
+        if low in _PHONE_WORDS:
+            return "phone"
+    return "none"
+
+
 def _around(text: str, start: int, end: int, kind: str) -> list[str]:
     before, after = text[max(0, start - 24) : start], text[end : end + 16]
     left = _LAST.search(before)
@@ -155,6 +174,7 @@ _PHONES = [
     ("us", re.compile(rf"(?<![\w.+-])(?:1[ .-])?\d{{3}}([ .-])\d{{3}}\1\d{{4}}(?![\w-]|\.\d){_EXT}", re.I)),
     ("trunk", re.compile(rf"(?<![\w.+-])0\d{{1,5}}(?: ?/ ?|-| )\d{{2,8}}(?:[ .-]\d{{1,6}}){{0,3}}(?![\w])(?!-\d){_EXT}", re.I)),
     ("pairs", re.compile(rf"(?<![\w.+-])0\d(?:([ .-])\d\d)(?:\1\d\d){{3}}(?![\w]|[.-]\d){_EXT}", re.I)),
+    ("groups", re.compile(rf"(?<![\w.+-])\d{{3}} \d{{3}} \d{{3}}(?![\w]|[ .-]\d){_EXT}", re.I)),
     ("plain", re.compile(rf"(?<![\w.+-])0?\d{{9,10}}(?![\w]|[.-]\d){_EXT}", re.I)),
 ]
 _IDS = [
@@ -164,23 +184,51 @@ _IDS = [
     ("dni", re.compile(r"(?<![\w.+-])\d{8}-?[A-Z](?![\w])", re.I)),
     ("tax", re.compile(r"(?<![\w.+-])\d{2}([ ./-])\d{3}\1\d{3}\1\d{3}(?![\w]|-\d)")),
     ("tax11", re.compile(r"(?<![\w.+-])\d{11}(?![\w]|-\d)")),
+    ("cpf", re.compile(r"(?<![\w.+-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w]|-\d)")),
+    ("twelve", re.compile(r"(?<![\w.+-])\d{4}([ -])\d{4}\1\d{4}(?![\w]|[ -]\d)")),
+    ("nir", re.compile(r"(?<![\w.+-])[12]( ?)\d{2}\1\d{2}\1\d[\dAB]\1\d{3}\1\d{3}(?: ?\d{2})?(?![\w]|[ -]\d)")),
+    ("nine", re.compile(r"(?<![\w.+-])\d{9}(?![\w]|[.-]\d)")),
     ("tax9", re.compile(r"(?<![\w.+-])\d{3}([ ./-])\d{3}\1\d{3}(?![\w]|[.-]\d)")),
 ]
 _DENSE = re.compile(r"[+(]?(?:[A-Za-z]{1,2} ?)?(?:\d[ ()./-]{0,3}){6,}(?:[A-Za-z]\b)?")
 
 
+#: Characters behind a dense stretch of digits that are searched first; a match that reaches their end is searched for again in twice as many.
+_REACH = 48
+
+
+def _matches(rule: re.Pattern, text: str, lo: int, first: int, last: int) -> Iterator[re.Match]:
+    """Matches that begin in lo..first, as if the whole rest of the text were searched."""
+    reach = _REACH
+    while True:
+        hi = min(len(text), last + reach)
+        found = [m for m in rule.finditer(text, lo, hi) if m.start() < first]
+        # at the end of the window, look-aheads and greedy parts see a text that ends there
+        if hi == len(text) or all(m.end() + 4 < hi for m in found):
+            return iter(found)
+        reach *= 2
+
+
+# a bank account number is no identity number, and no part of it is one or a telephone
+_ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+
+
 def _numbers(text: str) -> Iterator[Span]:
+    accounts: list[tuple[int, int]] | None = None
     for w in _DENSE.finditer(text):
-        lo, hi = max(0, w.start() - 3), min(len(text), w.end() + 16)
+        if accounts is None:
+            accounts = [m.span() for m in _ACCOUNT.finditer(text)]
+        if any(a <= w.start() < b for a, b in accounts):
+            continue
+        lo, label = max(0, w.start() - 3), None
         for kind, rules in (("phone", _PHONES), ("identity_number", _IDS)):
             for name, rule in rules:
-                for m in rule.finditer(text, lo, hi):
-                    if m.start() >= w.end():
-                        continue
+                for m in _matches(rule, text, lo, w.end(), w.end()):
                     body = m.group()
                     shape = re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "0", body)))
                     digits = sum(c.isdigit() for c in body)
-                    f = (f"{kind}|rule={name}", f"{kind}|shape={shape}", f"{kind}|digits={digits}", f"{kind}|rule,lc={name},{text[m.start() - 1 : m.start()] or '^'}")
+                    label = label or _label(text, m.start())
+                    f = (f"{kind}|rule={name}", f"{kind}|shape={shape}", f"{kind}|digits={digits}", f"{kind}|rule,lc={name},{text[m.start() - 1 : m.start()] or '^'}", f"{kind}|label={label}", f"{kind}|rule,label={name},{label}")
                     yield Span(m.start(), m.end(), kind, (*f, *_around(text, m.start(), m.end(), kind)))
 
 
@@ -196,7 +244,7 @@ _APT = re.compile(r",?[ \n]+(?:apt|apartment|flat|unit|suite|ste|appt|app|piso|w
 _ZIP_TOWN = re.compile(r",?[ \n]+(\d{4,6}) ")
 _TOWN = re.compile(rf"({_NAMEWORD})")
 _SEP = re.compile(r",[ \n]+|\n")
-_ZIP = re.compile(r",? (\d{4,6})(?![\w-]|\.\d)")
+_ZIP = re.compile(r",? (\d{4,6}|[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2})(?![\w-]|\.\d)")
 _TOWN_LINKS = {"an", "der", "am", "de", "del", "la", "las", "los", "les", "du", "sur", "le", "in", "im", "bei", "den", "l", "d", "upon", "under", "of", "the"}
 
 
@@ -216,10 +264,18 @@ def _towns(text: str, at: int, most: int = 5) -> list[tuple[int, int, bool]]:
     return [x for x in out if x[2]]
 
 
+_STRETCH = re.compile(r"\S+")
+#: Words before and behind a street word that the grammars can take up: a number with its addition and three words, particles and a number behind.
+_BEFORE, _BEHIND = 6, 9
+
+
 def _addresses(text: str, around: list[int]) -> Iterator[Span]:
     seen: set[tuple[int, int]] = set()
+    stretches = [m.span() for m in _STRETCH.finditer(text)]
+    begins = [s for s, _ in stretches]
     for hit in around:
-        lo, hi = max(0, hit - 48), min(len(text), hit + 60)
+        at = bisect_right(begins, hit) - 1
+        lo, hi = stretches[max(0, at - _BEFORE)][0], stretches[min(len(stretches) - 1, at + _BEHIND)][1]
         for name, rule in (("en", _EN), ("fr", _FR), ("es", _ES), ("de", _DE)):
             for m in rule.finditer(text, lo, hi):
                 if (m.start(), m.end()) in seen or not m.start() <= hit <= m.end():
@@ -257,9 +313,11 @@ def _address_readings(text: str, start: int, core: int, rule: str) -> Iterator[S
         part = re.findall(r"[^\W\d_]+", text[core:end])
         low = sum(w[0].islower() for w in part if w.lower() not in _TOWN_LINKS)
         mixed = bool(part) and bool(low) and any(w[0].isupper() for w in street)
-        odd = any(w.lower() in {"before", "to", "and", "the", "for", "auf", "y", "und", "et", "because", "when", "tel", "ausweisnummer"} for w in part)
+        # a town is no label of what follows, and a full stop behind a word that is written out ends the sentence
+        label = any(w.lower() in _ID_WORDS or w.lower() in _PHONE_WORDS for w in part)
+        stop = text[core - 1] == "." and len(street[-1] if street else "") > 4 and bool(mark)
         k = "street_address"
-        f = [f"{k}|rule={rule}", f"{k}|parts={mark}", f"{k}|town={n}", f"{k}|mixed={mixed}", f"{k}|odd={odd}", f"{k}|rule,parts={rule},{mark}", f"{k}|words={min(words, 9)}", f"{k}|low={min(low, 3)}"]
+        f = [f"{k}|rule={rule}", f"{k}|parts={mark}", f"{k}|town={n}", f"{k}|mixed={mixed}", f"{k}|label={label}", f"{k}|stop={stop}", f"{k}|rule,parts={rule},{mark}", f"{k}|words={min(words, 9)}", f"{k}|low={min(low, 3)}"]
         f.append(f"{k}|parts,town={mark},{n}")
         yield Span(start, e, k, (*f, *_around(text, start, e, k)))
 
@@ -369,8 +427,6 @@ def decode(spans: list[Span], w: dict[str, float]) -> list[Span]:
         return []
     ends = [s.end for _, s in order]
     best: list[tuple[float, int, bool]] = [(0.0, -1, False)]
-    from bisect import bisect_right
-
     for i, (score, s) in enumerate(order):
         j = bisect_right(ends, s.start, 0, i)
         take = best[j][0] + score
@@ -446,8 +502,6 @@ def redact_personal(df: DataFrame, lexicon: DataFrame, key: str = "id", text: st
 def partition(spans: list[Span], w: dict[str, float]) -> tuple[float, list[float]]:
     """Log of the summed weight of all segmentations, and the marginal of each span (for training)."""
     order = sorted(range(len(spans)), key=lambda i: spans[i].end)
-    from bisect import bisect_left, bisect_right
-
     score = [sum(w.get(f, 0.0) for f in spans[i].features) for i in order]
     ends = [spans[i].end for i in order]
     n = len(order)
@@ -471,5 +525,4 @@ def partition(spans: list[Span], w: dict[str, float]) -> tuple[float, list[float
     marginal = [0.0] * len(spans)
     for i, k in enumerate(back_order):
         marginal[order[k]] = math.exp(min(0.0, fwd[prev[k]] + score[k] + bwd[nxt[i]] - z))
-    del bisect_left
     return z, marginal

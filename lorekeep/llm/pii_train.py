@@ -42,6 +42,7 @@ _DECOYS = [
     "Lane {n2} is slower than lane {n1}.", "The street map layer is off.", "Use port {n4} or {n4}.", "Hope for the best, plan for the rest.", "Row {n4} {n4} {n4} was skipped.", "Version 10.{n3}.{n4} is out.", "Order {n3}-{n4} and part {n2}-{n3}-{n1} arrived.", "Range 1000-{n4} is free, id {n6} is not.",
     "user@host failed, root@localhost did not", "The {G} {W} lasts {n2} seconds.", "{G} {W} and {G} {W} are flags.", "{G} {W} is a setting.", "Press {G} {W} to go on.", "The {W} {W} and the {W} {W} differ.", "{W} {W} {n2} failed.", "See {G} {W}, then {W} {G}.", "It moved from {G} {W} to {G} {W}.", "Both {G} {W} and {W} {W} fail.", "{G} {W} of {n2}, {G} {W} of {n2}.", "the {G} {W}.",
     "They are named {G} {W} and {G} {W}.", "Choose {G} {W} or {G} {W}.", "Three modes: {W} {W}, {G} {W} and {G} {W}.", "a {G} {W} of {n2}, {W} {W} and {G} {W}.", "{G} {W}, {G} {W}.", "{G} {W} and {G} {W}.", "no {G} {W} and no {G} {W}.", "between {G} {W} and {G} {W}.",
+    "The account is DE{n2} {n4} {n4} {n4} {n4} {n2}.", "IBAN GB{n2} WXYZ {n4} {n4} {n4} {n2}", "Batch {n3} {n3} {n3} of the run.", "Offsets {n4} {n4} {n4} are taken.", "counter 4{n4}{n4} went up",
 ]
 
 
@@ -101,6 +102,15 @@ class Maker:
         ni = ["QQ", d(2), d(2), d(2), r.choice("ABCD")]
         return r.choice([f"9{d(2)}-{d(2)}-{d(4)}", f"9{d(2)} {d(2)} {d(4)}", " ".join(ni), "".join(ni), f"X{d(8)}", f"000{d(5)}{r.choice('ABDEFJKLNQRSTVXYZ')}", f"000{d(5)}-{r.choice('ABDEFJKQRSTZ')}", f"0{d(1)} {d(3)} {d(3)} {d(3)}", f"0{d(10)}"])
 
+    def labelled(self) -> tuple[str, str, str]:
+        """A number whose kind only its label tells, or that is written as another country does: (label, number, kind)."""
+        r, d = self.r, self.digits
+        nine = r.choice([f"{d(3)} {d(3)} {d(3)}", d(9)])
+        if r.random() < 0.35:
+            return r.choice(["phone", "tel", "mobile", "dial", "call", "fax", "téléphone", "Telefon", "teléfono"]), nine, "phone"
+        other = r.choice([f"{d(3)}.{d(3)}.{d(3)}-{d(2)}", f"{d(4)} {d(4)} {d(4)}", f"{r.choice('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)}", f"{r.choice('12')} {d(2)} {d(2)} {d(2)} {d(3)} {d(3)} {d(2)}", f"{r.choice('CKLN')}{d(8)}"])
+        return r.choice(["passport", "passport number", "SIN", "tax id", "tax number", "national id", "identity number", "CPF", "Aadhaar", "pasaporte", "passeport", "Steuernummer", "NIR"]), r.choice([nine, nine, other]), "identity_number"
+
     def address(self) -> str:
         r, d = self.r, self.digits
         zip_ = "00" + d(3)
@@ -129,6 +139,8 @@ class Maker:
         "{N}, {A}.", "{A} to {A}, by van", "Meet {N} at {A} to sign.", "{N} wrote it.", "reported by {N}.", "{P}.", "{N}.", "id: {I}", "{E}, {E}; {E}", "Send {A} a copy before the end of May.", "Numéro {I}, courriel {E}.",
     ]
 
+    LABELLED = ["The {L} was on the form.", "{L}", "Their {L}, as they said.", "He read out the {L}.", "We stored the {L} by mistake.", "({L})", "Wrong {L}; check again."]
+
     def fill(self, frame: str, at: int, labels: list[tuple[int, int, str]]) -> str:
         makers = {"N": ("name", self.name), "E": ("email", self.email), "P": ("phone", self.phone), "I": ("identity_number", self.identity), "A": ("street_address", self.address)}
         out, i = "", 0
@@ -137,6 +149,11 @@ class Maker:
                 out, i = out + frame[i], i + 2
             elif frame[i : i + 3] == "{V}":
                 out, i = out + self.r.choice(_VERBS), i + 3
+            elif frame[i : i + 3] == "{L}":
+                label, s, kind = self.labelled()
+                out += label + self.r.choice([" ", ": ", " is ", " no. "])
+                labels.append((at + len(out), at + len(out) + len(s), kind))
+                out, i = out + s, i + 3
             elif frame[i] == "{" and frame[i + 1] in makers:
                 kind, make = makers[frame[i + 1]]
                 s = make()
@@ -152,8 +169,10 @@ class Maker:
         text, labels = "", []
         for _ in range(r.randint(2, 5)):
             x = r.random()
-            if x < 0.5:
+            if x < 0.46:
                 s = self.fill(r.choice(self.FRAMES), len(text), labels)
+            elif x < 0.5:
+                s = self.fill(r.choice(self.LABELLED), len(text), labels)
             elif x < 0.75:
                 s = r.choice(_DECOYS)
                 for k in ("n1", "n2", "n3", "n4", "n6"):

@@ -15,6 +15,7 @@ from lorekeep.llm.skeleton import look_alike_classes, look_alike_pairs, skeleton
 from lorekeep.llm.tokens import token_counts
 from lorekeep.plans.registry import Registry, table
 from lorekeep.scratch import Scratch
+from lorekeep.sources.memory import once
 
 R = Registry()
 
@@ -148,11 +149,10 @@ def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add("p2_found")
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return find_personal(table(spark, folder, "observations"), table(spark, folder, "name_lexicon"))
+    return find_personal(once(table(spark, folder, "observations"), "id"), table(spark, folder, "name_lexicon"))
 
 
 @R.add("p2_redacted")
 def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """Every note with typed placeholders in place of personal information."""
-    rows = redact_personal(table(spark, folder, "observations"), table(spark, folder, "name_lexicon"))
-    return rows.distinct()
+    return redact_personal(once(table(spark, folder, "observations"), "id"), table(spark, folder, "name_lexicon"))

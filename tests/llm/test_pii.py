@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from conftest import rows
 
@@ -31,6 +33,24 @@ def test_cases(text, want):
     assert found(text) == want
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("my SIN is 046 454 286", {("identity_number", "046 454 286")}), ("phone 046 454 286", {("phone", "046 454 286")}), ("passport number 123456789", {("identity_number", "123456789")}), ("CPF 123.456.789-09", {("identity_number", "123.456.789-09")}),
+    ("Aadhaar 1234 5678 9012", {("identity_number", "1234 5678 9012")}), ("NIR 1 85 05 78 006 084 36", {("identity_number", "1 85 05 78 006 084 36")}), ("IBAN DE89 3704 0044 0532 0130 00 ok", set()),
+    ("call 212-555-0147, extension 12345 now", {("phone", "212-555-0147, extension 12345")}), ("10 Downing Street, London SW1A 2AA", {("street_address", "10 Downing Street, London SW1A 2AA")}),
+])
+def test_labels_and_other_notations(text, want):
+    assert found(text) == want
+
+
+def test_no_window_cuts_a_match():
+    number = re.compile(r"\d{2}(?: \d{2})*")
+    text = "x " + "12 " * 400 + "y"
+    assert [m.group() for m in pii._matches(number, text, 0, 10, 10)] == [text[2:-2]]
+    name = "-".join(["Kestrelhollow"] * 9)  # one word of more than a hundred letters
+    spans = pii.candidates(f"at 12 {name} Street, Oakford", LEXICON)
+    assert any(s.kind == "street_address" and s.end - s.start > 120 for s in spans)
+
+
 def test_redaction_keeps_the_rest():
     text = "  Reviewed-by: Kenji Tarskstad <k.t@relay.example>\n\tlane 7 "
     assert pii.redact(text, pii.find(text, LEXICON, W)) == "  Reviewed-by: [NAME] <[EMAIL]>\n\tlane 7 "
