@@ -106,12 +106,24 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix(sized_documents(spark, folder, "sizes"), table(spark, folder, "source_targets"))[1]
 
 
-@R.add("p5_found")
+# little-endian floats read from hex digits, every pair compared
+_CLOSE = """
+WITH hx AS (SELECT cache_key, octet_length(payload) // 4 AS dim, any_value(hex(payload)) AS h FROM embedding_cache WHERE octet_length(payload) IN (1536, 3072) GROUP BY 1, 2),
+bits AS (SELECT cache_key, dim, list_transform(range(0, dim), lambda i: ('0x' || substr(h, 8 * i + 7, 2) || substr(h, 8 * i + 5, 2) || substr(h, 8 * i + 3, 2) || substr(h, 8 * i + 1, 2))::UBIGINT::BIGINT) AS w FROM hx),
+v AS (SELECT cache_key AS k, dim, list_transform(w, lambda b: (CASE WHEN b >= 2147483648 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * (8388608 + b % 8388608) * pow(2.0::DOUBLE, (b // 8388608) % 256 - 150)) AS vec FROM bits
+ WHERE len(list_filter(w, lambda b: (b // 8388608) % 256 = 255)) = 0 AND len(list_filter(w, lambda b: b % 2147483648 <> 0)) > 0),
+d AS (SELECT a.k AS x, b.k AS y, round(list_cosine_similarity(a.vec, b.vec), 6) AS cosine FROM v a JOIN v b ON a.dim = b.dim AND a.k <> b.k),
+r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY cosine DESC, y) AS rank FROM d WHERE cosine >= 0.8),
+near AS (SELECT DISTINCT least(x, y) AS key_a, greatest(x, y) AS key_b, cosine FROM r WHERE rank <= 10)
+"""
+
+
+@R.add("p5_found", _CLOSE + "SELECT DISTINCT key_a, key_b FROM near")
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return similar_pairs(table(spark, folder, "embedding_cache")).select("key_a", "key_b")
 
 
-@R.add("p5_degrees")
+@R.add("p5_degrees")  # no twin: similarities of 32-bit vectors differ from SQL's in the sixth digit
 def p5_degrees(spark: SparkSession, folder: str) -> DataFrame:
     """Each vector that has similar others: how many, and the highest similarity."""
     p = similar_pairs(table(spark, folder, "embedding_cache"))
